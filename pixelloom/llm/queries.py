@@ -1,9 +1,11 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op1_packing
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_warc": op3_warc,
     "op6_exact_dedup": op6_exact_dedup,
 }
