@@ -1,12 +1,16 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .licenses import op2_licenses
+from .mixing import op7_mixing
 from .packing import op1_packing
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_licenses": op2_licenses,
     "op3_warc": op3_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
 }
 SQL = {"op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL}
