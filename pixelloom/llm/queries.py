@@ -4,12 +4,16 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .licenses import op2_licenses
 from .mixing import op7_mixing
 from .packing import op1_packing
+from .quality import op4_quality
+from .toxicity import op5_toxicity
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
 }
