@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Learning: the numbers of toxic and of other labelled documents (a bounded sample) with a token give its log-odds under a Dirichlet prior whose
-shape is the token counts of the whole corpus; tokens that aren't clearly more frequent in toxic texts count 0. Every token also costs DRIFT, so that a segment
-ends where toxic tokens stop. Scoring: one linear scan finds all maximal scoring segments of a text. Calibration: the best segment
+Learning: a token's features are the token and its beginnings (a stem can take any ending). How often features stand in toxic and in
+other labelled documents (a bounded sample) gives their log-odds under a Dirichlet prior whose shape is the feature counts of the whole
+corpus; features that aren't clearly in more toxic texts count 0, and a token has the score of its clearest feature. Every token also costs DRIFT, so that a
+segment ends where toxic tokens stop. Scoring: one linear scan finds all maximal scoring segments of a text. Calibration: the best segment
 of ordinary texts follows an extreme-value law in text length and score, whose two parameters are fitted on labelled non-toxic rows; a segment's
 significance is the negative logarithm of its chance under that law, a document's is the sum over its segments, and a logistic curve makes it a score.
 
@@ -13,8 +14,8 @@ of both kinds nothing is learned and every score is 0. Empty table: no rows. Oth
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 from . import common as C
 from .quality import held_out
 
-#: Labelled rows of each kind to learn from at most, and distinct tokens that get log-odds at most, those with the clearest sign.
+#: Labelled rows of each kind to learn from at most, and features that are weighed at most.
 SAMPLE_ROWS = 4_000
 VOCABULARY = 20_000
 #: Mass of the Dirichlet prior in tokens, standard errors for a clear sign, cost of a token, bound of a token's score.
-PRIOR, CLEAR, DRIFT, MOST = 2_000.0, 5.5, 0.15, 6.0
+PRIOR, CLEAR, DRIFT, MOST = 2_000.0, 4.5, 0.05, 6.0
+#: Lengths in bytes of the beginnings that are features; a whole token is a feature with this byte at its end.
+STEMS, WHOLE = (4, 5, 6, 7, 8), b" "
+#: Distinct tokens that a worker remembers.
+REMEMBERED = 400_000
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 #: Lower-case letters of ASCII and all bytes of other letters; everything else parts tokens.
@@ -68,85 +73,137 @@ def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int
     return [(a, z, high - low) for a, z, low, high in found]
 
 
+def features(token: bytes) -> list[bytes]:
+    return [token + WHOLE, *(token[:k] for k in STEMS if len(token) >= k)]
+
+
+class Memory(dict):
+    """What a function says of each token."""
+
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, token: bytes):
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[token] = found = self.of(token)
+        return found
+
+
 @dataclass(frozen=True)
 class Model:
-    """Token scores; the extreme-value law's decay and size; the logistic curve's offset and slope."""
+    """Features' scores and clarity; the extreme-value law's decay and size; the logistic curve's offset and slope."""
 
-    scores: dict[bytes, float]
+    scores: dict[bytes, tuple[float, float]]
     decay: float = 1.0
     size: float = 1.0
     offset: float = -40.0
     slope: float = 0.0
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+    def token_scores(self) -> Memory:
+        return Memory(lambda token: max((self.scores[f] for f in features(token) if f in self.scores), default=(0.0, 0.0))[1])
+
+    def passages(self, text: str, memory: Memory) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens(text)
-        if self.scores.keys().isdisjoint(words):
+        if not self.scores:
             return len(words), []
-        at = [i for i, w in enumerate(words) if w in self.scores]
-        return len(words), segments(at, [self.scores[words[i]] for i in at], DRIFT)
+        scores = [memory[w] for w in words]
+        at = [i for i, s in enumerate(scores) if s]
+        return len(words), segments(at, [scores[i] for i in at], DRIFT) if at else []
 
     def significance(self, n: int, score: float) -> float:
         """Negative logarithm of the chance that ordinary text of n tokens has a segment of this score."""
         expected = self.size * max(n, 1) * math.exp(-self.decay * score)
         return -math.log(max(-math.expm1(-expected), 1e-300))
 
-    def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
-        return sum(s for _, _, x in found if (s := self.significance(n, x)) > 1.0)
+    def evidence(self, n: int, found: list[float]) -> float:
+        return sum(s for x in found if (s := self.significance(n, x)) > 1.0)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.offset + self.slope * evidence))))
 
 
-def log_odds(toxic: dict[bytes, int], other: dict[bytes, int], n_toxic: int, n_other: int, corpus: dict[bytes, int], n_corpus: int) -> dict[bytes, float]:
-    """Scores of the tokens whose log-odds have a clear sign, from the number of texts with each token."""
+@dataclass
+class Seen:
+    """What the labelled sample has of a feature, for the two labels: texts, occurrences, and different pairs of neighbours."""
+
+    texts: list[int]
+    times: list[int]
+    contexts: list[int]
+
+
+def log_odds(seen: dict[bytes, Seen], texts: list[int], times: list[int], corpus: dict[bytes, int], n_corpus: int) -> dict[bytes, tuple[float, float]]:
+    """Clarity and score of the features that are clearly in more toxic texts; texts and times have the sample's totals by label."""
     found = []
-    for w in toxic:
-        a, b = toxic[w], other.get(w, 0)
-        share = (a + b) / (n_toxic + n_other)
-        gain = sum(2 * x * math.log(x / (n * share)) for x, n in ((a, n_toxic), (b, n_other)) if x)
-        prior = 0.5 + PRIOR * corpus.get(w, 0) / max(n_corpus, 1)
-        odds = math.log((a + prior) / (n_toxic + 2 * prior)) - math.log((b + prior) / (n_other + 2 * prior))
-        if math.sqrt(max(gain, 0.0)) >= CLEAR and odds:
-            found.append((gain, w, max(-MOST, min(MOST, odds))))
-    return {w: s for _, w, s in sorted(found, reverse=True)[:VOCABULARY]}
+    for f, x in seen.items():
+        # copies of a text have the same neighbours, so they don't count as many texts
+        b, a = (min(x.texts[k], x.contexts[k]) for k in (0, 1))
+        share = (a + b) / sum(texts)
+        gain = sum(2 * y * math.log(y / (n * share)) for y, n in ((a, texts[1]), (b, texts[0])) if y)
+        if a * texts[0] <= b * texts[1] or gain < CLEAR**2:
+            continue
+        prior = 0.5 + PRIOR * corpus.get(f, 0) / max(n_corpus, 1)
+        y, z = (min(x.times[k], x.contexts[k]) + prior for k in (1, 0))
+        odds = math.log(y / (times[1] + PRIOR - y)) - math.log(z / (times[0] + PRIOR - z))
+        if odds > 2 * DRIFT:
+            found.append((math.sqrt(gain), min(MOST, odds), f))
+    return {f: (clarity, odds) for clarity, odds, f in found}
 
 
-def texts_with(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataFrame:
-    """label, token, n: in how many texts of each kind a token stands, or if that is less, between how many different pairs of neighbours.
+def texts_with(docs: DataFrame) -> DataFrame:
+    """label, feature, n: how many texts of each kind have a feature."""
 
-    The second number is for tokens of a vocabulary; it keeps copies of a text from counting as many texts.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for b in batches:
+            for label, text in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
+                counts.update({(label, f) for w in set(tokens(text.as_py())) for f in features(w)})
+                if len(counts) > REMEMBERED:
+                    yield batch(counts)
+                    counts.clear()
+        yield batch(counts)
+
+    def batch(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["label", "feature", "n"])
+
+    return docs.select("label", "text").mapInArrow(run, "label int, feature binary, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+
+
+def occurrences(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
+    """label, feature, times, contexts of the vocabulary's features; the feature WHOLE counts all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Memory(lambda w: [f for f in features(w) if f in vocabulary])
         for b in batches:
-            rows = []
+            rows: Counter = Counter()
             for label, text in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
                 words = tokens(text.as_py())
-                if vocabulary is None:
-                    rows += [(label, w, None) for w in set(words)]
-                else:
-                    framed = [b"", *words, b""]
-                    rows += {(label, w, framed[i] + b" " + framed[i + 2]) for i, w in enumerate(words) if w in vocabulary}
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["label", "token", "context"])
+                framed = [b"", *words, b""]
+                for i, w in enumerate(words):
+                    for f in known[w]:
+                        rows[label, f, framed[i] + b" " + framed[i + 2]] += 1
+                rows[label, WHOLE, b""] += len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array(list(rows.values()), pa.int64())], ["label", "feature", "context", "n"])
 
-    rows = docs.select("label", "text").mapInArrow(run, "label int, token binary, context binary")
-    return rows.groupBy("label", "token").agg(F.count("*").alias("n") if vocabulary is None else F.count_distinct("context").alias("n"))
+    rows = docs.select("label", "text").mapInArrow(run, "label int, feature binary, context binary, n long")
+    return rows.groupBy("label", "feature").agg(F.sum("n").alias("times"), F.count_distinct("context").alias("contexts"))
 
 
 def counted(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
-    """token, n: counts of the vocabulary's tokens in all docs; all others count as the empty token."""
+    """feature, n: counts of the vocabulary's features in all docs; the feature WHOLE counts all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        known, counts = Memory(lambda w: [f for f in features(w) if f in vocabulary]), defaultdict(int)
         for b in batches:
             for text in b.column("text"):
                 words = tokens(text.as_py())
-                known = Counter(filter(vocabulary.__contains__, words))
-                counts.update(known)
-                counts[b""] += len(words) - known.total()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+                counts[WHOLE] += len(words)
+                for found in map(known.__getitem__, words):
+                    for f in found:
+                        counts[f] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
 
-    return docs.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,34 +220,39 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model({})
-    kinds = texts_with(sample)
-    other = kinds.filter("label = 0").select("token", F.col("n").alias("n_other"))
-    # tokens that no three toxic texts have, or that are no more frequent there, can't have a clear sign
-    both = kinds.filter("label = 1 and n >= 3").select("token", "n").join(other, "token", "left").filter(F.col("n") * sizes[0] > F.coalesce("n_other", F.lit(0)) * sizes[1])
-    rows = both.orderBy(F.desc(F.col("n") - F.coalesce("n_other", F.lit(0)) * sizes[1] / sizes[0]), "token").limit(VOCABULARY).collect()
-    vocabulary = frozenset(bytes(r["token"]) for r in rows)
-    contexts = {(r["label"], bytes(r["token"])): r["n"] for r in texts_with(sample, vocabulary).collect()}
-    toxic, ordinary = ({bytes(r["token"]): min(r[k] or 0, contexts.get((label, bytes(r["token"])), 0)) for r in rows} for label, k in ((1, "n"), (0, "n_other")))
-    corpus = {bytes(r["token"]): r["n"] for r in counted(docs.select(C.text_of().alias("text")), vocabulary).collect()}
-    model = Model(log_odds(toxic, ordinary, sizes[1], sizes[0], corpus, sum(corpus.values())))
-    found = [(r["label"], r["n"], r["best"], r["all"]) for r in scanned(sample.withColumn("held_out", F.lit(False)), model, ["label"]).collect()]
-    decay, size = fit_extremes(np.array([(n, best) for label, n, best, _ in found if label == 0 and n]))
+    kinds = C.materialize(texts_with(sample), "kinds")
+    other = kinds.filter("label = 0").select("feature", F.col("n").alias("n_other"))
+    # features that no three toxic texts have, or that are no more frequent there, can't have a clear sign
+    excess = F.col("n") - F.coalesce("n_other", F.lit(0)) * (sizes[1] / sizes[0])
+    both = kinds.filter("label = 1 and n >= 3").select("feature", "n").join(other, "feature", "left").filter(excess > 0)
+    rows = both.orderBy(F.desc(excess / F.sqrt("n")), "feature").limit(VOCABULARY).collect()
+    seen = {bytes(r["feature"]): Seen([r["n_other"] or 0, r["n"]], [0, 0], [0, 0]) for r in rows}
+    vocabulary, times = frozenset(seen), [0, 0]
+    for r in occurrences(sample, vocabulary).collect():
+        if (f := bytes(r["feature"])) == WHOLE:
+            times[r["label"]] = r["times"]
+        else:
+            seen[f].times[r["label"]], seen[f].contexts[r["label"]] = r["times"], r["contexts"]
+    corpus = {bytes(r["feature"]): r["n"] for r in counted(docs.select(C.text_of().alias("text")), vocabulary).collect()}
+    model = Model(log_odds(seen, [sizes[0], sizes[1]], times, corpus, corpus.get(WHOLE, 0)))
+    found = [(r["label"], r["n"], r["all"]) for r in scanned(sample.withColumn("held_out", F.lit(False)), model, ["label"]).collect()]
+    decay, size = fit_extremes(np.array([(n, max(every, default=0.0)) for label, n, every in found if label == 0 and n]))
     model = Model(model.scores, decay, size)
-    evidence = np.array([model.evidence(n, [(0, 0, x) for x in every]) for _, n, _, every in found])
+    evidence = np.array([model.evidence(n, every) for _, n, every in found])
     offset, slope = fit_curve(evidence, np.array([float(label) for label, *_ in found]))
     return Model(model.scores, decay, size, offset, slope)
 
 
 def fit_extremes(ordinary: np.ndarray) -> tuple[float, float]:
     """decay and size of P(best segment >= x) = 1 - exp(-size * n * exp(-decay * x)), from (n, best) of ordinary texts; texts without a segment only tell that size is small."""
-    if not len(ordinary):
-        return 1.0, 1e-3
-    n, best = ordinary[:, 0], ordinary[:, 1]
+    n, best = (ordinary[:, 0], ordinary[:, 1]) if len(ordinary) else (np.zeros(0), np.zeros(0))
     some = best[best > 0]
-    decay = min(3.0, max(0.2, 1 / max(float(some.mean()) - DRIFT, 1e-3))) if len(some) >= 20 else 1.0
-    # each text has a segment over 0 with chance 1 - exp(-size * n)
-    size = max(float((best > 0).sum()), 0.5) / max(float(n.sum()), 1.0)
-    return decay, size
+    if len(some) < 20:
+        return 1.0, max(len(some), 0.5) / max(float(n.sum()), 1.0)
+    low = float(np.percentile(some, 10))
+    decay = min(3.0, max(0.2, 1 / max(float(np.maximum(some - low, 0).mean()), 1e-3)))
+    # each text has a segment of at least `low` with chance 1 - exp(-size * n * exp(-decay * low))
+    return decay, float((best >= low).sum()) / float(n.sum()) * math.exp(decay * low)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -208,24 +270,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def scanned(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:
-    """doc_id, held_out, n, score, the best segment's score, all segments' scores, passages (first and last token, score) and the columns of more."""
+    """doc_id, held_out, n, score, all segments' scores, significant passages (first and last token, score) and the columns of more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passage = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
+        passage, memory = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]), model.token_scores()
         for b in batches:
-            n, score, best, every, kept = [], [], [], [], []
+            n, score, every, kept = [], [], [], []
             for text in b.column("text"):
-                size, found = model.passages(text.as_py())
+                size, found = model.passages(text.as_py(), memory)
                 n.append(size)
-                score.append(model.score(model.evidence(size, found)))
                 every.append([x for _, _, x in found])
-                best.append(max(every[-1], default=0.0))
+                score.append(model.score(model.evidence(size, every[-1])))
                 kept.append([{"first": a, "last": z, "score": x} for a, z, x in found if model.significance(size, x) > 1.0])
             columns = [b.column(c) for c in ("doc_id", "held_out", *more)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(every, pa.list_(pa.float64())), pa.array(kept, pa.list_(passage))], ["doc_id", "held_out", *more, "n", "score", "best", "all", "passages"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(every, pa.list_(pa.float64())), pa.array(kept, pa.list_(passage))], ["doc_id", "held_out", *more, "n", "score", "all", "passages"])
 
     extra = "".join(f", {c} int" for c in more)
-    return docs.select("doc_id", "held_out", *more, "text").mapInArrow(run, f"doc_id long, held_out boolean{extra}, n long, score double, best double, all array<double>, passages array<struct<first: long, last: long, score: double>>")
+    return docs.select("doc_id", "held_out", *more, "text").mapInArrow(run, f"doc_id long, held_out boolean{extra}, n long, score double, all array<double>, passages array<struct<first: long, last: long, score: double>>")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
