@@ -5,6 +5,7 @@ from .licenses import op2_licenses
 from .mixing import op7_mixing
 from .packing import op1_packing
 from .quality import op4_quality
+from .syncmers import op9_syncmers
 from .toxicity import op5_toxicity
 from .warc import OP3_SQL, op3_warc
 
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op9_syncmers": op9_syncmers,
 }
 SQL = {"op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL}
