@@ -1,6 +1,7 @@
 """The operators' queries over the driver tables, and SQL for those that SQL can express."""
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .jaccard import op8_jaccard
 from .licenses import op2_licenses
 from .mixing import op7_mixing
 from .packing import op1_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_jaccard": op8_jaccard,
     "op9_syncmers": op9_syncmers,
 }
 SQL = {"op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL}
