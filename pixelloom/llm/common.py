@@ -6,10 +6,11 @@ Intermediate tables are Parquet in the folder that the cluster names in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group is hot when it holds more than this many rows and more than 1/HOT_SHARE of the table,
@@ -52,6 +53,21 @@ def discard(df: DataFrame) -> None:
         remove_path(df.sparkSession, f)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df (narrow rows) with `number`, their place from 0 in the given order, a table. Ranges are numbered on their own, and their sizes give the offsets."""
+    ranged = materialize(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("range", F.spark_partition_id()), name)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range").agg(F.count("*").alias("held")).select("range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return materialize(ranged.withColumn("nth", nth).join(F.broadcast(offsets), "range").withColumn("number", F.col("before") + F.col("nth")).drop("range", "nth", "before"), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

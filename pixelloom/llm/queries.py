@@ -6,6 +6,7 @@ from .licenses import op2_licenses
 from .mixing import op7_mixing
 from .packing import op1_packing
 from .quality import op4_quality
+from .substrings import op10_substrings
 from .syncmers import op9_syncmers
 from .toxicity import op5_toxicity
 from .warc import OP3_SQL, op3_warc
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_jaccard": op8_jaccard,
     "op9_syncmers": op9_syncmers,
+    "op10_substrings": op10_substrings,
 }
 SQL = {"op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL}
