@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import CHANNELS
 
-W, H, X, Y = F.col("width"), F.col("height"), F.col("x"), F.col("y")
-#: New x and y, and whether width and height change places, for each quarter turn clockwise.
-TURNS = {90: (lambda: (H - 1 - Y, X), True), 180: (lambda: (W - 1 - X, H - 1 - Y), False), 270: (lambda: (Y, W - 1 - X), True)}
+
+def here() -> tuple[Column, ...]:
+    return tuple(F.col(c) for c in ("width", "height", "x", "y"))
+
+
 #: EXIF orientations as a turn, then a mirror axis.
 ORIENTATIONS = {1: (0, None), 2: (0, "horizontal"), 3: (180, None), 4: (0, "vertical"), 5: (90, "horizontal"), 6: (90, None), 7: (90, "vertical"), 8: (270, None)}
 
 
 def fill(images: DataFrame, color: tuple[int, int, int, int]) -> DataFrame:
     """Pixel rows of one colour for image_id, width, height."""
+    W, H, _, _ = here()
     row = images.select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), W * H - 1)).alias("i"))
     return row.select("image_id", "width", "height", F.floor(F.col("i") / W).cast("int").alias("y"), (F.col("i") % W).cast("int").alias("x"), *[F.lit(v).alias(c) for c, v in zip(CHANNELS, color, strict=True)])
 
 
 def placed(pixels: DataFrame, x: Column, y: Column, swapped: bool = False, width: Column | None = None, height: Column | None = None) -> DataFrame:
     """pixels at new places, all of them computed from the old ones."""
+    W, H, _, _ = here()
     size = ((H, W) if swapped else (W, H)) if width is None else (width, height)
     return pixels.select("image_id", size[0].cast("int").alias("width"), size[1].cast("int").alias("height"), y.cast("int").alias("y"), x.cast("int").alias("x"), *CHANNELS)
 
@@ -35,11 +39,13 @@ def placed(pixels: DataFrame, x: Column, y: Column, swapped: bool = False, width
 def rotate(pixels: DataFrame, degrees: int) -> DataFrame:
     if degrees % 360 == 0:
         return pixels
-    where, swapped = TURNS[degrees % 360]
-    return placed(pixels, *where(), swapped)
+    W, H, X, Y = here()
+    way = {90: (H - 1 - Y, X, True), 180: (W - 1 - X, H - 1 - Y, False), 270: (Y, W - 1 - X, True)}
+    return placed(pixels, *way[degrees % 360])
 
 
 def mirror(pixels: DataFrame, axis: str) -> DataFrame:
+    W, H, X, Y = here()
     return placed(pixels, W - 1 - X, Y) if axis == "horizontal" else placed(pixels, X, H - 1 - Y)
 
 
@@ -51,6 +57,7 @@ def orient(pixels: DataFrame, orientation: int) -> DataFrame:
 
 def crop(pixels: DataFrame, x: Column | int, y: Column | int, width: Column | int, height: Column | int) -> DataFrame:
     """The region's pixels; images that don't hold the whole region have no rows (crop_errors says why)."""
+    W, H, X, Y = here()
     x, y, width, height = (F.lit(v) if isinstance(v, int) else v for v in (x, y, width, height))
     inside = (width > 0) & (height > 0) & (x >= 0) & (y >= 0) & (x + width <= W) & (y + height <= H) & X.between(x, x + width - 1) & Y.between(y, y + height - 1)
     return placed(pixels.filter(inside), X - x, Y - y, width=width, height=height)
@@ -58,11 +65,13 @@ def crop(pixels: DataFrame, x: Column | int, y: Column | int, width: Column | in
 
 def crop_errors(images: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
     """image_id and the error code, or null, of cropping each image."""
+    W, H, _, _ = here()
     bad = F.when((F.lit(width) <= 0) | (F.lit(height) <= 0), "invalidDimensions").when((F.lit(x) < 0) | (F.lit(y) < 0) | (F.lit(x) > W - width) | (F.lit(y) > H - height), "regionOutOfBounds")
     return images.select("image_id", bad.alias("error"))
 
 
 def crop_center_half(pixels: DataFrame) -> DataFrame:
+    W, H, _, _ = here()
     half = lambda d: F.greatest(F.lit(1), F.floor(d / 2)).cast("int")
     start = lambda d: F.floor((d - half(d)) / 2).cast("int")
     return crop(pixels, start(W), start(H), half(W), half(H))
@@ -70,6 +79,7 @@ def crop_center_half(pixels: DataFrame) -> DataFrame:
 
 def scaled_dims(images: DataFrame, factor: float) -> DataFrame:
     """image_id and the dimensions scaled, at least 1; an error for a factor that isn't positive and finite."""
+    W, H, _, _ = here()
     if not 0 < factor < float("inf"):
         return images.select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("invalidDimensions").alias("error"))
     new = lambda d: F.greatest(F.lit(1), F.floor(d * F.lit(float(factor)) + 0.5)).cast("int")
@@ -88,6 +98,7 @@ def resized(images: DataFrame, width: int, height: int, value: Callable[[str], C
 
 
 def resize_nearest(images: DataFrame, width: int, height: int) -> DataFrame:
+    W, H, _, _ = here()
     source = lambda t, n, d: F.least(d - 1, F.floor((F.col(t) + 0.5) * d / n)).cast("int")
     at = source("ty", height, H) * W + source("tx", width, W)
     return resized(images, width, height, lambda c: F.get(c, F.col("at")), {"at": at})
@@ -95,6 +106,7 @@ def resize_nearest(images: DataFrame, width: int, height: int) -> DataFrame:
 
 def resize_bilinear(images: DataFrame, width: int, height: int) -> DataFrame:
     """Centres are mapped and clamped, rows are blended before columns, and each channel is rounded half up on its own."""
+    W, H, _, _ = here()
 
     def axis(t: str, n: int, d: Column) -> tuple[Column, Column, Column]:
         center = F.greatest(F.lit(0.0), F.least((d - 1).cast("double"), (F.col(t) + 0.5) * (d.cast("double") / n) - 0.5))
@@ -114,6 +126,7 @@ def resize_bilinear(images: DataFrame, width: int, height: int) -> DataFrame:
 
 def grid_stitch(pixels: DataFrame, columns: int, rows: int) -> DataFrame:
     """Groups of columns * rows images of one size, by image_id, as one image each: tiles are placed row by row, all in one projection."""
+    W, H, X, Y = here()
     tiles = columns * rows
     grid, tile = F.floor(F.col("image_id") / tiles), F.col("image_id") % tiles
     return pixels.select(
