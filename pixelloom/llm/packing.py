@@ -34,7 +34,10 @@ from . import common as C
 CAPACITY = 4096
 #: The id that ends a document.
 END_ID = 1
-GROUPS = 16
+#: Numbers of groups to plan with; the plan with the fewest sequences is taken. Few groups suit corpora with many small pieces, which fill what rounding leaves.
+GROUPS = (16, 48)
+#: How often emptier sequences are planned again, and the part of a sequence that a full one may leave.
+PLANS, FULL = 6, 400
 #: A piece is large if fewer than this many of its length fit a sequence.
 FEW = 8
 #: Distinct words whose ids a worker remembers.
@@ -122,25 +125,25 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
 
 def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The multiset of sizes of the highest value that fits, by a table over capacities for each number of items."""
-    most = capacity // int(sizes.min())
-    best, choice = np.zeros(capacity + 1), []
-    for _ in range(most):
-        new, pick = best.copy(), np.full(capacity + 1, -1, np.int32)
-        for i, (s, v) in enumerate(zip(sizes, values, strict=True)):
-            if v > 0:
-                with_it = best[: capacity + 1 - s] + v
-                better = with_it > new[s:] + 1e-12
-                new[s:][better] = with_it[better]
-                pick[s:][better] = i
-        choice.append(pick)
-        best = new
+    """The multiset of sizes of the highest value that fits: a table over capacities that takes one more of a size while that helps anywhere."""
+    best, steps = np.zeros(capacity + 1), []
+    for i in np.argsort(-values / sizes):
+        s, v = int(sizes[i]), values[i]
+        if v <= 0:
+            break
+        for _ in range(capacity // s):
+            with_it = best[: capacity + 1 - s] + v
+            better = with_it > best[s:] + 1e-12
+            if not better.any():
+                break
+            best = np.concatenate([best[:s], np.where(better, with_it, best[s:])])
+            steps.append((i, s, better))
     counts, at = np.zeros(len(sizes), np.int64), int(np.argmax(best))
     value = float(best[at])
-    for pick in reversed(choice):
-        if pick[at] >= 0:
-            counts[pick[at]] += 1
-            at -= int(sizes[pick[at]])
+    for i, s, better in reversed(steps):
+        if at >= s and better[at - s]:
+            counts[i] += 1
+            at -= s
     return value, counts
 
 
@@ -197,8 +200,43 @@ class Runs:
         return [r for s in self.slacks for r in self.by_slack[s]]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, few: int = FEW) -> list[tuple[int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, few: int = FEW) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, ranks, first sequence, pieces a sequence, offset), sorted; sequences are numbered from 0."""
+    plans = [f(histogram, capacity, g, few) for f in (packed_runs, replanned_runs) for g in groups]
+    runs = min(plans, key=lambda runs: sum(n for n, _ in runs))
+    out, base, used = [], 0, defaultdict(int)
+    for n, items in runs:
+        offset = 0
+        for x, k in items:
+            out.append((x, used[x], n * k, base, k, offset))
+            used[x] += n * k
+            offset += x * k
+        base += n
+    return sorted(out)
+
+
+def replanned_runs(histogram: dict[int, int], capacity: int, groups: int, few: int) -> list[tuple[int, tuple]]:
+    """packed_runs of all pieces, then again of those in sequences that it leaves too empty, as long as that fills more of them; the rest by best fit."""
+    kept, left = [], dict(histogram)
+    for _ in range(PLANS):
+        found, rest = packed_runs(left, capacity, groups, few), defaultdict(int)
+        for n, items in found:
+            if sum(x * k for x, k in items) >= capacity - capacity // FULL:
+                kept.append((n, items))
+            else:
+                for x, k in items:
+                    rest[x] += n * k
+        if sum(rest.values()) == sum(left.values()):
+            break
+        left = rest
+    runs = Runs(capacity)
+    for x in sorted(left, reverse=True):
+        runs.place(x, left[x])
+    return kept + runs.all()
+
+
+def packed_runs(histogram: dict[int, int], capacity: int, groups: int, few: int) -> list[tuple[int, tuple]]:
+    """Runs of alike sequences: how many, and (length, pieces) of each."""
     left = {length: n for length, n in histogram.items() if n}
     runs = Runs(capacity)
     large = sorted((x for x in left if x * few > capacity and x < capacity), reverse=True)
@@ -246,15 +284,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                 uses -= n
     for x in sorted(left, reverse=True):
         runs.place(x, left[x])
-    out, base, used = [], 0, defaultdict(int)
-    for n, items in runs.all():
-        offset = 0
-        for x, k in items:
-            out.append((x, used[x], n * k, base, k, offset))
-            used[x] += n * k
-            offset += x * k
-        base += n
-    return sorted(out)
+    return runs.all()
 
 
 def ranked(pieces: DataFrame, salts: int) -> DataFrame:
