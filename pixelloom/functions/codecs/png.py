@@ -119,8 +119,8 @@ def decode(data: bytes) -> np.ndarray:
     return out
 
 
-def filtered(pixels: np.ndarray) -> bytes:
-    """Each row by the filter with the least sum of distances to 0, the lower type on ties; all rows at once."""
+def row_filters(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows under each filter, and for each row the filter with the least sum of distances to 0 (the lower one on ties) and that sum; all rows at once."""
     height, width = pixels.shape[:2]
     now = np.zeros((height + 1, width + 1, 4), np.int16)
     now[1:, 1:] = pixels
@@ -128,8 +128,14 @@ def filtered(pixels: np.ndarray) -> bytes:
     pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
     paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
     ways = np.stack([x, x - a, x - b, x - (a + b) // 2, x - paeth]) & 255
-    best = np.minimum(ways, 256 - ways).sum(axis=(2, 3)).argmin(axis=0)
-    lines = ways[best, np.arange(height)].astype(np.uint8).reshape(height, -1)
+    scores = np.minimum(ways, 256 - ways).sum(axis=(2, 3), dtype=np.int64)
+    return ways, scores.argmin(axis=0), scores.min(axis=0)
+
+
+def filtered(pixels: np.ndarray) -> bytes:
+    """The rows, each after its filter type."""
+    ways, best, _ = row_filters(pixels)
+    lines = ways[best, np.arange(len(pixels))].astype(np.uint8).reshape(len(pixels), -1)
     return np.hstack([best.astype(np.uint8)[:, None], lines]).tobytes()
 
 

@@ -126,14 +126,12 @@ def decompress(content: str | Column, most: int = 2**28) -> Column:
     return run(content)
 
 
-def adler32(content: Column) -> Column:
-    """Adler-32 by its two sums, as an expression over the bytes' hexadecimal digits."""
-    digits, n = F.hex(content), F.octet_length(content)
-    byte = lambda k: F.conv(F.substr(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("long")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    sums = F.aggregate(places, start, lambda s, k: F.struct(((s.a + byte(k)) % 65521).alias("a"), ((s.b + s.a + byte(k)) % 65521).alias("b")))
-    return sums.b * 65536 + sums.a
+def adler32(content: str | Column) -> Column:
+    @F.pandas_udf("long")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: zlib.adler32(bytes(d)), na_action="ignore")
+
+    return run(content)
 
 
 def exif_of(content: str | Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import png
+
 #: 16.16 factors of the inverse colour transform of JPEG.
 RED_CR, GREEN_CB, GREEN_CR, BLUE_CB, HALF = 91881, 22554, 46802, 116131, 32768
 
@@ -66,29 +70,18 @@ def runs(pixels: DataFrame) -> DataFrame:
 
 
 def filter_choice(images: DataFrame) -> DataFrame:
-    """The PNG filter type of each row: least sum of distances to 0 modulo 256 over the RGBA bytes, the lower type on ties. Rows are made from the packed arrays, without a window."""
-    rows = images.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    w = F.col("width")
-
-    def tap(c: str, i: Column, dx: int, dy: int) -> Column:
-        x, y = i - dx, F.col("y") - dy
-        return F.when((x < 0) | (y < 0), 0).otherwise(F.get(c, y * w + x))
-
-    def paeth(a: Column, b: Column, c: Column) -> Column:
-        pa, pb, pc = F.abs(b - c), F.abs(a - c), F.abs(a + b - 2 * c)
-        return F.when((pa <= pb) & (pa <= pc), a).when(pb <= pc, b).otherwise(c)
-
-    def score(kind: int) -> Column:
-        def byte(c: str, i: Column) -> Column:
-            v, a, b, d = tap(c, i, 0, 0), tap(c, i, 1, 0), tap(c, i, 0, 1), tap(c, i, 1, 1)
-            left = [F.lit(0), a, b, F.floor((a + b) / 2).cast("int"), paeth(a, b, d)][kind]
-            f = F.pmod(v - left, F.lit(256))
-            return F.least(f, 256 - f)
-
-        return F.aggregate(F.sequence(F.lit(0), w - 1), F.lit(0).cast("long"), lambda s, i: s + sum((byte(c, i) for c in "gba"), byte("r", i)).cast("long"))
-
-    scores = rows.select("image_id", "y", F.array(*[score(k) for k in range(5)]).alias("scores"))
-    return scores.select("image_id", "y", (F.array_position("scores", F.array_min("scores")) - 1).cast("int").alias("filter"), F.array_min("scores").alias("score"))
+    """The PNG filter type of each row of packed images, and its score; images are handled whole, without a shuffle."""
+
+    @F.pandas_udf("array<struct<filter: int, score: long>>")
+    def choose(width: pd.Series, height: pd.Series, r: pd.Series, g: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
+        out = []
+        for w, h, *cells in zip(width, height, r, g, b, a, strict=True):
+            best, score = png.row_filters(np.stack([np.asarray(c, np.uint8) for c in cells], axis=1).reshape(h, w, 4))[1:]
+            out.append([{"filter": int(k), "score": int(s)} for k, s in zip(best, score, strict=True)])
+        return pd.Series(out)
+
+    rows = images.select("image_id", F.posexplode(choose("width", "height", "r", "g", "b", "a")).alias("y", "f"))
+    return rows.select("image_id", "y", "f.filter", "f.score")
 
 
 def channel_error(left: DataFrame, right: DataFrame) -> DataFrame:

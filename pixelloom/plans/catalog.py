@@ -194,13 +194,13 @@ def decode_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 BYTES = ", bytes AS (SELECT doc_id, n, k, CAST(('0x' || substr(h, CAST(2 * k + 1 AS INTEGER), 2)) AS BIGINT) AS v FROM (SELECT doc_id, h, n, unnest(range(0, n)) AS k FROM texts))"
-TEXTS = "texts AS (SELECT doc_id, hex(encode(substr(text, 1, 200))) AS h, length(hex(encode(substr(text, 1, 200)))) // 2 AS n FROM documents)"
+TEXTS = "texts AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents)"
 
 
 @query("adler32", f"WITH {TEXTS}{BYTES} SELECT doc_id, CAST(((n + sum((n - k) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521 AS BIGINT) AS checksum FROM bytes GROUP BY doc_id, n")
 def adler32(spark: SparkSession, d: str) -> DataFrame:
-    """Checksums of short headers; the feature is the first 200 characters, as a header has."""
-    return table(spark, d, "documents").select("doc_id", udfs.adler32(F.substring("text", 1, 200).cast("binary")).alias("checksum"))
+    """Checksums of whole texts."""
+    return table(spark, d, "documents").select("doc_id", udfs.adler32(F.col("text").cast("binary")).alias("checksum"))
 
 
 @query("crc32")
