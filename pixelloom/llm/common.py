@@ -30,7 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows that Python workers get at a time; whole texts can be long.
+BATCH_ROWS = "1000"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,6 +78,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -8,10 +8,10 @@ do their work inside those groups:
    one part at least holds the same elements of both sets. Every document sends a hash of each part to the part's group. (Parts without
    elements say nothing: a document with too few others sends also its prefix, the elements with the least hashes, one of which
    linked sets share.) No link is lost, and a passage that many documents share brings only those together whose part lies in the passage.
-2. Pivots. The first document of a group is its pivot. Distances of members to pivots that a bound from 64 class counts
+2. Pivots. The first document of a group is its pivot. Distances of members to pivots that a bound from profiles of the sets
    doesn't rule out are computed from the whole sets; members in reach of a pivot are linked to it, and groups whose members are by then in one component are done.
-3. Regions and windows. The other groups are regions that are joined on their own. By the triangle inequality a member of a region's largest component that is nearer to the pivot
-   than all members of others, by more than the reach, links with none of them and is left out. Large regions are dealt as pairs of bounded blocks; inside, class counts, another pivot and its windows choose the pairs that are compared.
+3. Regions and windows. The other groups are regions that are joined on their own. By the triangle inequality a member of the pivot's component that is nearer to the pivot
+   than all members of others, by more than the reach, links with none of them and is left out. Large regions are dealt as pairs of bounded blocks; inside, profiles, another pivot and its windows choose the pairs that are compared.
 
 Defined cases. Null or empty text, or one of only white space: the empty set, linked with nothing. Fewer words than a shingle: one shingle, the whole sequence. Null doc_id: joined
 like any other; a component's id is its least doc_id that isn't null. Rows that repeat a doc_id or a text: a result row each. Empty table: no rows. Other columns don't take part.
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Growth of the size classes, classes of the profile, members of a block.
-RATIO, PROFILE, BLOCK = 1.5, 64, 500
+#: Growth of the size classes, members of a block.
+RATIO, BLOCK = 1.5, 500
+#: A profile is the elements' number in each of COUNTS classes, then its parity in each of many finer ones: a power of 2 that grows with the set between these bounds.
+COUNTS, PARITIES = 256, (2048, 65536)
 #: Signatures that a task holds at most before it sends them.
-HELD = 4_000_000
+HELD = 1_000_000
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 SIGN_SCHEMA = "doc_id long, node long, rep long, n long, row long, digest binary, profile binary, bucket int, keys binary"
@@ -148,7 +150,7 @@ def signed(docs: DataFrame, reach: Reach, buckets: int) -> DataFrame:
                     rep = seen.setdefault(known, node)
                     if rep == node:
                         digest = known
-                        profile = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=PROFILE), 65535).astype("<u2").tobytes()
+                        profile = profile_of(h)
                         keys.append(signatures(h, reach))
                         owners.append((place, len(keys[-1])))
                         held += len(keys[-1])
@@ -184,6 +186,39 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), C.text_of())
 
 
+def profile_of(h: np.ndarray) -> bytes:
+    """Elements of the set by class, 255 at most, and their parities by finer class; the sets differ at least as much as either part."""
+    counts = np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=COUNTS), 255).astype("u1")
+    classes = PARITIES[0]
+    while classes < min(4 * len(h), PARITIES[1]):
+        classes *= 2
+    odd = np.bincount(((h >> np.uint64(36)) % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return counts.tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+@dataclass
+class Profiles:
+    counts: np.ndarray
+    odd: np.ndarray
+
+    @staticmethod
+    def of(rows: list[bytes], size: int | None = None) -> Profiles:
+        """Profiles of one size; in larger ones pairs of classes are added up, which keeps them parities."""
+        size, parts = size or min(map(len, rows)), []
+        for r in rows:
+            odd = np.frombuffer(r, "u1", offset=COUNTS)
+            while COUNTS + len(odd) > size:
+                odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+            parts.append(odd)
+        counts = np.stack([np.frombuffer(r, "u1", COUNTS) for r in rows]).astype(np.int16)
+        return Profiles(counts, np.stack(parts).view("u8"))
+
+    def differ(self, i, other: Profiles, j) -> np.ndarray:
+        """Elements in which sets differ, at least: a bound from each part."""
+        by_parity = np.bitwise_count(self.odd[i] ^ other.odd[j]).sum(axis=1, dtype=np.int64)
+        return np.maximum(by_parity, np.abs(self.counts[i] - other.counts[j]).sum(axis=1, dtype=np.int64))
+
+
 def digest_of(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
@@ -232,19 +267,17 @@ def met(sent: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes in links (a, b): large-star and small-star steps, each a shuffle by node, until the links are stars around the least nodes."""
     edges = C.materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = C.materialize(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         edges = C.materialize(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        # a star has each node once on the outside, and no node on both sides
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("hub")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("hub")))
+        if not ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("hub").alias("hub")).filter("out + hub > 1").limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -272,15 +305,15 @@ def compared(pairs: DataFrame, sets: DataFrame, reach: Reach) -> DataFrame:
     pairs = C.materialize(pairs, "pairs")
     total = pairs.count()
     counts = pairs.groupBy("pivot").agg(F.count("*").alias("held"))
-    pivots = counts.join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
-    with_node = pairs.join(sets, "node")
     limit = max(C.HOT_ROWS, total // C.HOT_SHARE)
     # hot pivots are few, so their sets go to all tasks; the sets of other pivots go where their few members are
-    hot = F.broadcast(pivots.filter(F.col("held") > limit).select("pivot", "pivot_set"))
-    cold = pairs.join(F.broadcast(counts.filter(F.col("held") > limit).select("pivot")), "pivot", "left_anti").join(sets, "node")
-    near = with_node.join(hot, "pivot")
-    far = cold.join(pivots.filter(F.col("held") <= limit).select("pivot", "pivot_set"), "pivot")
-    return near.select("pivot", "node", "pivot_set", "set").unionByName(far.select("pivot", "node", "pivot_set", "set")).mapInArrow(run, "pivot long, node long, distance double, linked boolean")
+    hot = F.broadcast(counts.filter(F.col("held") > limit).select("pivot"))
+    hot_sets = F.broadcast(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")).join(hot, "pivot", "left_semi"))
+    # both sides of the other joins grow with the documents, so they are shuffled at every size
+    near = pairs.join(hot, "pivot", "left_semi").join(sets.hint("merge"), "node").join(hot_sets, "pivot")
+    far = pairs.join(hot, "pivot", "left_anti").join(sets.hint("merge"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")).hint("merge"), "pivot")
+    columns = ["pivot", "node", "pivot_set", "set"]
+    return near.select(columns).unionByName(far.select(columns)).mapInArrow(run, "pivot long, node long, distance double, linked boolean")
 
 
 def bounded(pairs: DataFrame, profiles: DataFrame, reach: Reach) -> DataFrame:
@@ -290,10 +323,14 @@ def bounded(pairs: DataFrame, profiles: DataFrame, reach: Reach) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, PROFILE).astype(np.int32) for c in ("pivot_profile", "profile"))
+            rows = [b.column(c).to_pylist() for c in ("pivot_profile", "profile")]
             n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pivot_n", "n"))
             small, large = np.minimum(n, m), np.maximum(n, m)
-            differ = np.maximum(np.abs(one - two).sum(axis=1), large - small)
+            sizes, differ = np.array([min(len(x), len(y)) for x, y in zip(*rows, strict=True)]), large - small
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                one, two = (Profiles.of([r[i] for i in at], size) for r in rows)
+                differ[at] = np.maximum(differ[at], one.differ(slice(None), two, slice(None)))
             fits = (differ <= (reach.den - reach.num) * small // reach.num) & (reach.den * small >= reach.num * large)
             common = (n + m - differ) / 2
             yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), pa.array(1 - common / (n + m - common)), pa.array(fits)], ["pivot", "node", "bound", "fits"])
@@ -319,29 +356,35 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 @dataclass
 class Members:
-    """Members of a block: their components and sides (-1: compared with all), sizes, class counts, and distances to the pivot, nan where unknown."""
+    """Members of a block: their components and sides (-1: compared with all), sizes, profiles, and distances to the pivot, nan where unknown."""
 
     comp: np.ndarray
     side: np.ndarray
     size: np.ndarray
-    counts: np.ndarray
+    profiles: Profiles
     distance: np.ndarray
 
     def partners(self, i: int, reach: Reach) -> np.ndarray:
-        """Later members that may link with member i: of another component and side, within the window, of like size and counts."""
+        """Later members that may link with member i: of another component and side, within the window, of like size and counts, neither being the pivot."""
         j = np.arange(i + 1, len(self.comp))
         small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
         fits = (self.comp[j] != self.comp[i]) & ((self.side[j] != self.side[i]) | (self.side[i] < 0)) & (reach.den * small >= reach.num * large)
+        fits &= (self.distance[j] != 0) & (self.distance[i] != 0)  # these have been compared
         fits &= ~(np.abs(self.distance[j] - self.distance[i]) > reach.radius() + 1e-9)
         j = j[fits]
-        return j[np.abs(self.counts[j] - self.counts[i]).sum(axis=1) <= (reach.den - reach.num) * np.minimum(self.size[i], self.size[j]) // reach.num] if len(j) else j
+        return j[self.profiles.differ(i, self.profiles, j) <= (reach.den - reach.num) * np.minimum(self.size[i], self.size[j]) // reach.num] if len(j) else j
 
 
 def within(nodes: np.ndarray, sets: list[np.ndarray], members: Members, reach: Reach) -> list[tuple[int, int]]:
     """Links between members, as many as connect those that any links connect, by another pivot and its windows."""
     shared = np.array([common_size(sets[0], h) for h in sets])
-    members.distance = 1 - shared / (len(sets[0]) + members.size - shared)
+    union = len(sets[0]) + members.size - shared
+    members.distance = np.where(shared == union, np.nan, 1 - shared / union)
     found = []
+    for j in np.flatnonzero(reach.den * shared >= reach.num * union):
+        if members.comp[j] != members.comp[0]:
+            found.append((int(nodes[0]), int(nodes[j])))
+            members.comp[members.comp == members.comp[j]] = members.comp[0]
     for i in range(len(nodes) - 1):
         for j in members.partners(i, reach):
             if members.comp[j] != members.comp[i]:
@@ -354,19 +397,20 @@ def within(nodes: np.ndarray, sets: list[np.ndarray], members: Members, reach: R
 
 def regions_of(groups: DataFrame, roots: DataFrame, distances: DataFrame, reach: Reach) -> DataFrame:
     """(region, x, y, side, node, comp, distance): blocks of the groups that aren't in one component yet. distances has for pivots and nodes the distance or a bound of it."""
-    member = groups.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    counts = member.groupBy("grp", "comp").agg(F.count("*").alias("held"))
-    mains = counts.groupBy("grp").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("grp", "main")
+    of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    member = groups.join(roots, "node", "left").join(of_pivot, "pivot", "left").join(distances, ["pivot", "node"], "left")
+    comp, main = F.coalesce("root", "node"), F.coalesce("pivot_root", "pivot")
     far = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance"))
-    opened = C.materialize(member.join(mains, "grp").join(distances, ["pivot", "node"], "left").withColumn("distance", far), "open")
-    # by the triangle inequality a member of the largest component that is nearer to the pivot than all others by more than the radius links with none of them
-    others = opened.filter("comp != main").groupBy("grp").agg(F.min(F.coalesce("distance", "bound", F.lit(0.0))).alias("near"))
-    windows = (F.col("comp") != F.col("main")) | F.col("distance").isNull() | (F.col("distance") >= F.col("near") - reach.radius() - 1e-9)
-    kept = C.materialize(opened.join(others, "grp").filter(windows).select(F.col("grp").alias("region"), "node", "comp", "distance"), "regions")
-    blocks = kept.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = kept.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int"))
+    member = C.materialize(member.select("grp", "size", "node", comp.alias("comp"), (comp == main).alias("main"), far.alias("distance"), "bound"), "members")
+    # by the triangle inequality a member of the pivot's component that is nearer to the pivot than all others by more than the radius links with none of them
+    near = F.min(F.when(~F.col("main"), F.coalesce("distance", "bound", F.lit(0.0))))
+    others = member.groupBy("grp").agg(near.alias("near")).filter(F.col("near").isNotNull())
+    windows = ~F.col("main") | F.col("distance").isNull() | (F.col("distance") >= F.col("near") - reach.radius() - 1e-9)
+    kept = member.join(others, "grp").filter(windows)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "grp"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return dealt.withColumn("at", F.explode(pair)).select("region", "at.x", "at.y", F.when(F.col("at.x") == F.col("at.y"), -1).otherwise(F.col("block")).alias("side"), "node", "comp", "distance")
+    return dealt.withColumn("at", F.explode(pair)).select(F.col("grp").alias("region"), "at.x", "at.y", F.when(F.col("at.x") == F.col("at.y"), -1).otherwise(F.col("block")).alias("side"), "node", "comp", "distance")
 
 
 def joined_blocks(blocks: DataFrame, profiles: DataFrame, sets: DataFrame, reach: Reach) -> DataFrame:
@@ -376,8 +420,7 @@ def joined_blocks(blocks: DataFrame, profiles: DataFrame, sets: DataFrame, reach
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, keys):
-            counts = np.frombuffer(b"".join(t.column("profile").to_pylist()), "<u2").reshape(-1, PROFILE).astype(np.int32)
-            members = Members(*(t.column(c).to_numpy() for c in ("comp", "side", "n")), counts, t.column("distance").to_numpy().astype(float))
+            members = Members(*(t.column(c).to_numpy() for c in ("comp", "side", "n")), Profiles.of(t.column("profile").to_pylist()), t.column("distance").to_numpy().astype(float))
             some = np.zeros(t.num_rows, bool)
             for i in range(t.num_rows - 1):
                 j = members.partners(i, reach)
@@ -390,72 +433,70 @@ def joined_blocks(blocks: DataFrame, profiles: DataFrame, sets: DataFrame, reach
         for t in grouped(batches, keys):
             held = [np.frombuffer(s, "u8") for s in t.column("set").to_pylist()]
             size = np.array([len(h) for h in held])
-            counts = np.stack([np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=PROFILE) for h in held])
-            members = Members(t.column("comp").to_numpy().copy(), t.column("side").to_numpy(), size, counts, np.zeros(0))
+            members = Members(t.column("comp").to_numpy().copy(), t.column("side").to_numpy(), size, Profiles.of([profile_of(h) for h in held]), np.zeros(0))
             found = within(t.column("node").to_numpy(), held, members, reach)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     dealt = lambda df: df.repartition(C.partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, "node")
     profiled = dealt(blocks.join(profiles, "node").select(*names, "distance", "n", "profile"))
     screened = C.materialize(profiled.mapInArrow(screen, "region long, x int, y int, side int, node long, comp long"), "screened")
-    return dealt(screened.join(sets, "node").select(*names, "set")).mapInArrow(join, "a long, b long")
+    return dealt(screened.join(sets.hint("merge"), "node").select(*names, "set")).mapInArrow(join, "a long, b long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, reach: Reach) -> DataFrame:
     """(node, set) of the chosen nodes, from their rows of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat are in one partition
         for b in batches:
-            found = [(n, h.tobytes()) for n, digest, t in zip(b.column("node").to_pylist(), b.column("digest").to_pylist(), b.column("text"), strict=True) if digest_of(h := shingles(t.as_py(), reach.words)) == digest]
+            found = []
+            for n, digest, t in zip(b.column("node").to_pylist(), b.column("digest").to_pylist(), b.column("text"), strict=True):
+                if n not in seen and digest_of(h := shingles(t.as_py(), reach.words)) == digest:
+                    seen.add(n)
+                    found.append((n, h.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], ["node", "set"])
 
     wanted = nodes.join(chosen, "node").select("node", "row", "digest")
     text = docs.select(row_key().alias("row"), C.text_of().alias("text"))
-    return text.join(wanted, "row").dropDuplicates(["node"]).mapInArrow(run, "node long, set binary")
+    return text.join(wanted.hint("merge"), "row").mapInArrow(run, "node long, set binary")
 
 
 def jaccard_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     reach = reach or Reach()
-    table = C.materialize(signed(docs, reach, C.partitions(docs.sparkSession)), "signed")
-    nodes = table.filter("rep is not null").select("doc_id", "node", "rep", "n", "row", "digest", "profile")
+    spark = docs.sparkSession
+    path = C.fresh_path(spark, "signed")
+    rows = signed(docs, reach, C.partitions(spark))
+    rows.withColumn("sent", F.col("bucket").isNotNull()).write.partitionBy("sent").parquet(path)
+    table = spark.read.schema(SIGN_SCHEMA + ", sent boolean").parquet(path)
+    nodes = table.filter("not sent").select("doc_id", "node", "rep", "n", "row", "digest", "profile")
     profiles = nodes.filter("profile is not null").select("node", "n", "profile")
-    meetings = C.materialize(met(table.filter("bucket is not null").select("bucket", "node", "keys")), "met")
+    meetings = C.materialize(met(table.filter("sent").select("bucket", "node", "keys")), "met")
+    C.remove_path(spark, f"{path}/sent=true")
+    C.release(spark)
     degrees = meetings.filter("degree is not null").groupBy("node").agg(F.sum("degree").alias("degree"))
     groups = meetings.filter("grp is not null").select("grp", "node").distinct().join(degrees, "node")
     # the pivot of a group meets the most others: what copies were made from, if it is there
-    pivots = groups.groupBy("grp").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.max("degree").alias("degree"))
+    pivots = groups.groupBy("grp").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("size"))
     groups = C.materialize(groups.drop("degree").join(pivots, "grp"), "groups")
-    stars = groups.filter("node != pivot").groupBy("pivot", "node").agg(F.max("degree").alias("degree")).unionByName(meetings.filter("a is not null").select(F.col("a").alias("pivot"), "node", F.lit(0).cast("long").alias("degree")))
-    stars = C.materialize(stars.groupBy("pivot", "node").agg(F.max("degree").alias("degree")), "stars")
-    bounds = C.materialize(bounded(stars.select("pivot", "node"), profiles, reach), "bounds")
+    stars = groups.filter("node != pivot").select("pivot", "node").unionByName(meetings.filter("a is not null").select(F.col("a").alias("pivot"), "node")).distinct()
+    bounds = C.materialize(bounded(stars, profiles, reach), "bounds")
     pairs = bounds.filter("fits").select("pivot", "node")
     chosen = pairs.select("pivot").union(pairs.select("node")).toDF("node").union(groups.select("node")).distinct()
     sets = C.materialize(sets_of(docs, nodes, chosen, reach), "sets")
-    # every node meets the pivot with the most others first; other pairs only if they are still in different components
-    first = pairs.join(stars, ["pivot", "node"]).groupBy("node").agg(F.max_by("pivot", F.struct("degree", "pivot")).alias("pivot")).select("pivot", "node")
-    done = C.materialize(compared(first, sets, reach), "compared")
-    roots = C.materialize(components(done.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "roots")
-    rest = apart(pairs.join(done.select("pivot", "node"), ["pivot", "node"], "left_anti"), roots)
-    done = C.materialize(done.unionByName(compared(rest, sets, reach)), "compared")
+    C.release(spark)
+    done = C.materialize(compared(pairs, sets, reach), "compared")
+    C.release(spark)
     links = done.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    roots = C.materialize(components(links), "roots")
-    distances = bounds.select("pivot", "node", "bound").join(done.select("pivot", "node", "distance"), ["pivot", "node"], "left")
-    blocks = regions_of(groups.select("grp", "pivot", "node"), roots, distances, reach)
+    roots = components(links)
+    distances = done.select("pivot", "node", "distance", F.lit(None).cast("double").alias("bound")).unionByName(bounds.filter("not fits").select("pivot", "node", F.lit(None).cast("double").alias("distance"), "bound"))
+    blocks = regions_of(groups, roots, distances, reach)
     more = C.materialize(joined_blocks(blocks, profiles, sets, reach), "links")
     if more.limit(1).count():
-        roots = C.materialize(components(links.unionByName(more)), "roots")
+        roots = components(links.unionByName(more))
     return labelled(nodes, roots)
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes aren't in one component."""
-    of_node = roots.select("node", F.col("root").alias("node_root"))
-    of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    both = pairs.join(of_node, "node", "left").join(of_pivot, "pivot", "left")
-    return both.filter(F.coalesce("node_root", "node") != F.coalesce("pivot_root", "pivot")).select("pivot", "node")
-
-
 def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = nodes.select("doc_id", "rep", F.col("n").alias("n_shingles")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     rooted = C.materialize(rooted.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")), "rooted")
