@@ -39,7 +39,7 @@ PLACES = WIDTH - K + 1
 SHALLOW, CHUNK = 16, 8
 #: Contexts of an anchor from which on windows are dealt one by one; contexts up to which pairs are looked at.
 MANY, PAIRS = 200, 12
-HELD = 1_500_000
+HELD = 250_000
 STEP = np.uint64(0x94D049BB133111EB)
 OCCURRENCE = np.dtype([("key", "u8"), ("context", "u8"), ("doc", "i8"), ("at", "u4")])
 WINDOW = np.dtype([("digest", "u8"), ("doc", "i8"), ("at", "u4")])
@@ -79,7 +79,7 @@ def reach_of(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def occurrences(doc: int, data: bytes) -> np.ndarray:
     at, keys = anchors(data)
     out = np.empty(len(at), OCCURRENCE)
-    out["key"], out["doc"], out["at"] = keys, doc, at
+    out["key"], out["doc"], out["at"] = mixed(keys + STEP), doc, at  # anchors have small hashes, so they are mixed again
     first, after = reach_of(len(data), at)
     digest, view = xxhash.xxh64_intdigest, memoryview(data)
     # contexts that end early are equal only to such that end as early
@@ -134,9 +134,9 @@ def marks(docs: DataFrame, buckets: int) -> DataFrame:
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
                 held.append(occurrences(doc, text.as_py().encode("utf-8")))
                 size += len(held[-1])
-            if size > HELD:
-                yield sent(held)
-                held, size = [], 0
+                if size > HELD:
+                    yield sent(held)
+                    held, size = [], 0
         if size:
             yield sent(held)
 
@@ -319,10 +319,10 @@ def resolved(docs: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
                         done.add(at)
                         held.append(window_digests(data, doc, at))
                         size += len(held[-1])
+                if size > HELD:
+                    yield sent(held)
+                    held, size = [], 0
             yield batch(rows)
-            if size > HELD:
-                yield sent(held)
-                held, size = [], 0
         if size:
             yield sent(held)
 
