@@ -128,7 +128,9 @@ class Model:
     rules: tuple[tuple[Rule, float], ...]
 
     def column(self, text: Column) -> Column:
-        return self.score(statistics(text))
+        """The score as one expression that computes each statistic once, wherever the optimizer moves it."""
+        stats = statistics(text)
+        return F.element_at(F.transform(F.array(F.struct(*[c.alias(k) for k, c in stats.items()])), lambda s: self.score({k: s[k] for k in stats})), 1)
 
     def score(self, stats: dict[str, Column]) -> Column:
         total = F.lit(self.intercept)
