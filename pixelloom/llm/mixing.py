@@ -143,7 +143,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         keyed = keyed.withColumn("__nth", nth)
     else:
         keyed = keyed.withColumn("__nth", F.lit(1))
-    joined = keyed.join(copies, "__key").withColumn("__n", F.get("__copies", F.col("__nth") - 1)).filter("__n > 0")
+    # copies grow with docs, so both are shuffled at every size
+    joined = keyed.join(copies.hint("merge"), "__key").withColumn("__n", F.get("__copies", F.col("__nth") - 1)).filter("__n > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
