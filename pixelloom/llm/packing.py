@@ -41,7 +41,7 @@ PLANS, FULL = 6, 400
 #: A piece is large if fewer than this many of its length fit a sequence.
 FEW = 8
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

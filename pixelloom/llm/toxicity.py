@@ -34,7 +34,7 @@ PRIOR, CLEAR, DRIFT, MOST = 2_000.0, 4.5, 0.05, 6.0
 #: Lengths in bytes of the beginnings that are features; a whole token is a feature with this byte at its end.
 STEMS, WHOLE = (4, 5, 6, 7, 8), b" "
 #: Distinct tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 #: Lower-case letters of ASCII and all bytes of other letters; everything else parts tokens.
