@@ -37,6 +37,13 @@ def test_query(spark, sf_dir, name):
     assert len(got) and rows(got) == rows(want)
 
 
+def test_detect_encoded_takes_every_image(spark, sf_dir):
+    got = QUERIES["detect_encoded"](spark, sf_dir).toPandas()
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert len(got) == 7 * parts and got["image_id"].nunique() == parts
+    assert (got["name"] == got["format"]).all()
+
+
 def test_entry(spark):
     import __spark_entry__
 
