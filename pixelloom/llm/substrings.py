@@ -398,26 +398,28 @@ def cleaned(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     return docs.join(data, "doc", "left").select("doc_id", "text", "data").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """doc (place or id in the order of documents), doc_id, text."""
+def ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc (place or id in the order of documents), doc_id, text; and doc, text with each doc once, so that a row isn't a repeat of its own copy."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
     ids = rows.select("doc_id")
     n, known, least = ids.agg(F.count("*"), F.count("doc_id"), F.min("doc_id")).first()
     if n == known and (least or 0) >= 0 and not ids.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        rows = rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        return rows, rows.select("doc", "text")
     keyed = rows.withColumn("__order", F.xxhash64("text"))
     places = C.numbered(keyed.select("doc_id", "__order").distinct(), ["doc_id", "__order"], "order").select(F.col("doc_id").alias("__id"), F.col("__order").alias("__o"), F.col("number").alias("doc"))
-    return keyed.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__order") == F.col("__o"))).select("doc", "doc_id", "text")
+    placed = keyed.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__order") == F.col("__o"))).select("doc", "doc_id", "text")
+    return placed, placed.select("doc", "text").dropDuplicates(["doc"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every document."""
     spark = docs.sparkSession
-    rows = ordered(docs)
+    rows, texts = ordered(docs)
     buckets = C.partitions(spark)
-    found = C.materialize(marks(rows.select("doc", "text"), buckets), "marks")
+    found = C.materialize(marks(texts, buckets), "marks")
     C.release(spark)
-    more = C.materialize(resolved(rows.select("doc", "text"), found.filter("kind = 1").select("doc", "data"), buckets), "repeats")
+    more = C.materialize(resolved(texts, found.filter("kind = 1").select("doc", "data"), buckets), "repeats")
     C.release(spark)
     return cleaned(rows, found.filter("kind = 0").select("doc", "data").unionByName(more.select("doc", "data")))
 

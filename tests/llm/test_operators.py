@@ -502,3 +502,16 @@ def test_substrings_odd(spark):
     assert len(rows) == len(helpers.ROWS)
     assert next(r for r in rows if r.doc_id == 3).n_removed == 150000 - 5
     assert substrings.remove_repeats(helpers.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("many", [200, 2])
+def test_substrings_of_repeated_rows(spark, many, monkeypatch):
+    monkeypatch.setattr(substrings, "MANY", many)
+    noise = lambda n: "".join(np.random.default_rng(n).choice(list("abcdefgh"), n))
+    one, two, none = noise(700), noise(400), noise(500)
+    rows = [(1, one), (1, one), (2, two + one[:300]), (2, two + one[:300]), (3, one), (None, none), (None, none), (4, none[:200] + two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = removed({-1 if k is None else k: t for k, t in rows})
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df).collect())
+    assert got == sorted((k, *want[k]) for k in (-1 if k is None else k for k, _ in rows))
+    assert want[1][1] == want[-1][1] == 0 and want[3][1] == 700
