@@ -63,41 +63,33 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 def to_postfix(expression: str) -> list[str] | None:
     """Shunting yard: the longest valid expression that the text begins with, in postfix order, in lower case; None if there is none."""
-    tokens, at = [], 0
+    tokens: list[str] = []
+    depth, operand, valid, at = 0, True, 0, 0  # open brackets, whether an operand has to come next, tokens of the longest valid prefix, place
     while m := TOKEN.match(expression, at):
-        tokens.append(m[1].lower())
-        at = m.end()
-    for end in range(len(tokens), 0, -1):
-        out: list[str] = []
-        held: list[str] = []
-        operand = True  # what has to come next
-        good = True
-        for t in tokens[:end]:
-            if t == "(":
-                good = operand
-                held.append(t)
-            elif t == ")":
-                good = not operand
-                while held and held[-1] != "(":
-                    out.append(held.pop())
-                good = good and bool(held)
-                if good:
-                    held.pop()
-            elif t in BINDS:
-                good, operand = not operand, True
-                while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[t]:
-                    out.append(held.pop())
-                held.append(t)
-            else:
-                good, operand = operand, False
-                out.append(t)
-            if not good:
-                break
-        if good and not operand and "(" not in held:
-            return out + held[::-1]
-        if end < len(tokens) - 64:  # an expression of over 64 trailing words isn't one
-            return None
-    return None
+        t, at = m[1].lower(), m.end()
+        if (t in BINDS or t == ")") == operand or t == ")" and not depth:  # it can't follow, so no longer prefix is valid
+            break
+        tokens.append(t)
+        depth += (t == "(") - (t == ")")
+        operand = t == "(" or t in BINDS
+        if not operand and not depth:
+            valid = len(tokens)
+    out: list[str] = []
+    held: list[str] = []
+    for t in tokens[:valid]:
+        if t == "(":
+            held.append(t)
+        elif t == ")":
+            while held[-1] != "(":
+                out.append(held.pop())
+            held.pop()
+        elif t in BINDS:
+            while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[t]:
+                out.append(held.pop())
+            held.append(t)
+        else:
+            out.append(t)
+    return out + held[::-1] if valid else None
 
 
 def evaluate(postfix: list[str], allowed: Callable[[str], bool]) -> bool:

@@ -137,6 +137,14 @@ def test_expressions_by_truth_table():
 # archives
 
 
+def test_expressions_before_long_lines():
+    for n in (60, 64, 66, 67, 5000):
+        assert licenses.to_postfix("(MIT OR ISC) AND zlib " + "word " * n) == ["mit", "isc", "or", "zlib", "and"]
+    line = "SPDX-License-Identifier: MIT " + "and so it goes on " * 100
+    got = licenses.scan(line, licenses.automaton(), {"mit"}.__contains__)
+    assert got[5] == "mit,so" and got[7] == "mit so and" and got[8] is False
+
+
 def test_warc(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     more = spark.createDataFrame([(900, "u", None), (901, "u", ""), (902, None, "WARC/1.1\r\n\r\n\r\n\r\n"), (903, "a\r\nb", "same"), (904, "u", "same"), (905, "u", "same"), (906, "u", "é \0")], "page_id long, url string, html string")
