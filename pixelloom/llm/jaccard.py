@@ -463,6 +463,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, reach: Reach)
 
 def jaccard_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    return rooted_components(docs, reach).select("doc_id", "n_shingles", "component_id")
+
+
+def rooted_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
+    """doc_id, row (its row_key()), n_shingles, root (a node of its component), component_id of every document."""
     reach = reach or Reach()
     spark = docs.sparkSession
     path = C.fresh_path(spark, "signed")
@@ -498,17 +503,30 @@ def jaccard_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame
 
 
 def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    rooted = nodes.select("doc_id", "rep", F.col("n").alias("n_shingles")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    rooted = C.materialize(rooted.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")), "rooted")
+    rooted = nodes.select("doc_id", "row", "rep", F.col("n").alias("n_shingles")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    rooted = C.materialize(rooted.select("doc_id", "row", "n_shingles", F.coalesce("root", "rep").alias("root")), "rooted")
     facts = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held"))
-    return C.join_group_facts(rooted, facts, "root", "held", rooted.count()).select("doc_id", "n_shingles", "component_id")
+    return C.join_group_facts(rooted, facts, "root", "held", rooted.count()).select("doc_id", "row", "n_shingles", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
-    """docs without those that aren't the least doc_id of their component, with all columns. Rows without doc_id stay, as do all rows that repeat a doc_id that stays."""
-    found = C.materialize(jaccard_components(docs, reach), "components")
-    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """A row of each component, with all columns: of its least doc_id (null only where all are null), and of several such rows the one with the least row_key().
+    Rows that repeat doc_id and text are one component unless the text is empty; the first by a hash of all columns stays."""
+    found = C.materialize(rooted_components(docs, reach).select("doc_id", "row", "root", "component_id"), "components")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    several = found.filter(least).groupBy("root").agg(F.min("row").alias("stays"), F.count("*").alias("rows")).filter("rows > 1")
+    tied = C.materialize(C.join_group_facts(found.filter(least), several, "root", "rows", found.count()).filter("rows > 1").select("doc_id", "row", "stays"), "tied")
+    gone = found.filter(~least).select("doc_id", "row").unionByName(tied.filter("row != stays").select("doc_id", "row")).distinct()
+    keyed = docs.withColumn("__row", row_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
+    named = lambda keys: keys.select(F.col("doc_id").alias("__id"), F.col("row").alias("__key"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = keyed.join(named(gone), same, "left_anti")
+    copies = tied.filter("row = stays").groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row")
+    if not copies.limit(1).count():
+        return kept.select(*columns)
+    first = kept.join(named(copies), same, "left_semi").groupBy(F.col("doc_id").cast("long"), "__row").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__first"))
+    return kept.join(named(copies), same, "left_anti").select(*columns).unionByName(first.select("__first.*"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -400,6 +400,15 @@ def test_jaccard_odd(spark):
     assert jaccard.jaccard_components(helpers.empty(spark)).count() == 0
 
 
+def test_one_of_each_decides_by_row(spark):
+    words = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 200))
+    a, b, c, d = (words(k) for k in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (None, c), (None, c + " end"), (None, c), (7, d), (7, d), (7, d + " end"), (8, ""), (8, ""), (None, a)]
+    kept = jaccard.one_of_each(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, nth int").repartition(3)).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text.removesuffix(" end")) for r in kept)
+    assert got == sorted([(1, a), (2, b), (-1, c), (7, d), (8, ""), (8, "")])
+
+
 # fingerprints
 
 
