@@ -6,8 +6,8 @@ import numpy as np
 
 from ...errors import INVALID_DIMENSIONS, UNKNOWN_FORMAT, ImageError, unsupported
 
-#: Pixels of a valid image at most, and a lower limit that keeps cells small.
-MOST_PIXELS, CELL_PIXELS = 2**28, 2**24
+#: Pixels of a valid image at most.
+MOST_PIXELS = 2**28
 #: Brands of the two box formats.
 HEIC_BRANDS = frozenset([b"heic", b"heix", b"heim", b"heis", b"hevc", b"hevx", b"mif1", b"msf1"])
 AVIF_BRANDS = frozenset([b"avif", b"avis"])
@@ -52,7 +52,7 @@ def module(name: str):
     return {"bmp": bmp, "gif": gif, "jpeg": jpeg, "netpbm": netpbm, "png": png, "qoi": qoi, "tiff": tiff}.get(name)
 
 
-def decode(data: bytes, name: str | None = None, most: int = CELL_PIXELS) -> tuple[str, np.ndarray]:
+def decode(data: bytes, name: str | None = None, most: int = MOST_PIXELS) -> tuple[str, np.ndarray]:
     """Format and pixels; EXIF orientation is applied."""
     from .. import exif
 

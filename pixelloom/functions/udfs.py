@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import INVALID_DATA, ImageError
+from ..errors import INVALID_DATA, ImageError, unsupported
 from . import codecs, exif
 
 ERROR = "error struct<code: string, reason: string>"
 ARRAYS = ", ".join(f"{c} array<int>" for c in "rgba")
+#: Pixels whose four arrays of integers fit in a Spark row of under 2 GB, and pixels that go to the JVM at a time unless one image has more.
+ROW_PIXELS, BATCH_PIXELS = 2**27 - 2**10, 2**22
 DECODED = f"struct<format: string, width: int, height: int, {ARRAYS}, {ERROR}>"
 
 
@@ -43,27 +45,42 @@ def encode_image(name: str, quality: int = 90) -> Column:
     return run("width", "height", "r", "g", "b", "a")
 
 
-def decode_image(content: str | Column, name: str | None = None) -> Column:
-    """struct<format, width, height, r, g, b, a, error> of file bytes; the format is detected unless it's given."""
+def decode_image(content: str | Column, name: str | None = None, most: int = codecs.MOST_PIXELS) -> Column:
+    """struct<format, width, height, r, g, b, a, error> of file bytes; the format is detected unless it's given. Images over `most` pixels are errors."""
 
-    @F.pandas_udf(DECODED)
-    def run(data: pd.Series) -> pd.DataFrame:
-        rows = []
-        for d in data:
-            value, error = guarded(codecs.decode, bytes(d or b""), name)
-            found, pixels = value if value else (None, None)
-            cells = [pixels[..., k].reshape(-1).tolist() if value else None for k in range(4)]
-            rows.append((found, pixels.shape[1] if value else None, pixels.shape[0] if value else None, *cells, error))
+    def one(data: bytes) -> tuple[str, np.ndarray]:
+        found, pixels = codecs.decode(data, name, most)
+        if pixels.shape[0] * pixels.shape[1] > ROW_PIXELS:
+            raise unsupported(f"a row of over {ROW_PIXELS} pixels")
+        return found, pixels
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["format", "width", "height", *"rgba", "error"])
         return out.astype({"width": "Int32", "height": "Int32"})
 
+    @F.pandas_udf(DECODED)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for data in parts:
+            rows, held = [], 0
+            for d in data:
+                value, error = guarded(one, bytes(d or b""))
+                found, pixels = value if value else (None, None)
+                size = pixels.shape[0] * pixels.shape[1] if value else 0
+                if rows and held + size > BATCH_PIXELS:
+                    yield frame(rows)
+                    rows, held = [], 0
+                cells = [pixels[..., k].reshape(-1).astype(np.int32) if value else None for k in range(4)]
+                rows.append((found, pixels.shape[1] if value else None, pixels.shape[0] if value else None, *cells, error))
+                held += size
+            yield frame(rows)
+
     return run(content)
 
 
-def decoded(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with format, width, height, r, g, b, a and error in place of the content."""
+def decoded(files: DataFrame, content: str = "content", most: int = codecs.MOST_PIXELS) -> DataFrame:
+    """files with format, width, height, r, g, b, a and error in place of the content; images over `most` pixels are errors."""
     rest = [c for c in files.columns if c != content]
-    return files.select(*rest, decode_image(content).alias("d")).select(*rest, "d.*")
+    return files.select(*rest, decode_image(content, most=most).alias("d")).select(*rest, "d.*")
 
 
 def detect_format(content: Column) -> Column:

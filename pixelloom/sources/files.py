@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import udfs
+from ..functions import codecs, udfs
 
 
-def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def read_images(spark: SparkSession, path: str, pattern: str = "*", most: int = codecs.MOST_PIXELS) -> DataFrame:
     """A row a file: path, length, format, pixels, and an error where a file can't be decoded."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return udfs.decoded(files.select("path", "length", "content"))
+    return udfs.decoded(files.select("path", "length", "content"), most=most)
 
 
 def encoded(images: DataFrame, name: str, quality: int = 90) -> DataFrame:

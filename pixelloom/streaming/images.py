@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import udfs
+from ..functions import codecs, udfs
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_images(spark: SparkSession, path: str, files_at_a_time: int = 100) -> DataFrame:
+def stream_images(spark: SparkSession, path: str, files_at_a_time: int = 100, most: int = codecs.MOST_PIXELS) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_at_a_time).load(path)
-    return udfs.decoded(files.select("path", "modificationTime", "length", "content"))
+    return udfs.decoded(files.select("path", "modificationTime", "length", "content"), most=most)
 
 
 def counts_by_time(images: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:

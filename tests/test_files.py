@@ -22,6 +22,21 @@ def test_batch(spark, tmp_path):
     assert rows["one.bmp"].format == "bmp" and rows["bad.png"].error.code == "invalidData"
 
 
+def test_most_pixels(spark, tmp_path):
+    big = np.full((4097, 4096, 4), 7, np.uint8)
+    assert codecs.decode(codecs.encode(big, "bmp"))[1].shape == big.shape
+    put(tmp_path)
+    read = lambda most: {r.path.rsplit("/", 1)[1]: r.error and r.error.code for r in files.read_images(spark, str(tmp_path), most=most).collect()}
+    assert read(15)["one.png"] is None and read(14)["one.png"] == "invalidDimensions"
+
+
+def test_images_go_to_the_jvm_in_parts(spark):
+    images = [np.full((n, 900, 4), n % 256, np.uint8) for n in (1, 2500, 3, 2500, 2500, 2)]
+    rows = spark.createDataFrame([(k, codecs.encode(p, "bmp")) for k, p in enumerate(images)], "k int, content binary").coalesce(1)
+    got = udfs.decoded(rows).select("k", "height", F.size("r").alias("n"), F.array_min("r").alias("low"), F.array_max("r").alias("high")).collect()
+    assert [(r.k, r.height, r.n, r.low, r.high) for r in got] == [(k, p.shape[0], p.shape[0] * 900, p[0, 0, 0], p[0, 0, 0]) for k, p in enumerate(images)]
+
+
 def test_stream(spark, tmp_path):
     put(tmp_path)
     stream = images.stream_images(spark, str(tmp_path))
