@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,32 +31,59 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Rows that Python workers get at a time; whole texts can be long.
-BATCH_ROWS = "1000"
+#: Bytes that Python workers get at a time, one row at least; whole texts can be long.
+BATCH_BYTES = "16777216"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Paths of the tables that were made and not deleted, in order.
+MADE: list[str] = []
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, "2147483647"):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    bound_batches(spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.made_at = path
+    return table
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by materialize()."""
+    for t in tables:
+        remove_path(t.sparkSession, t.made_at)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by materialize()."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        remove_path(df.sparkSession, f)
+def sealed(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that make() returns, written; all other tables that it made are deleted, also after an error."""
+    before, kept = set(MADE), []
+    try:
+        table = materialize(make(), name)
+        kept = [table.made_at]
+        return table
+    finally:
+        for path in [x for x in MADE if x not in before and x not in kept]:
+            remove_path(spark, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -78,7 +106,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -92,11 +120,11 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, tot
 
     Keys with more than max(HOT_ROWS, total / HOT_SHARE) rows number under HOT_SHARE however large
     the table is; their facts are broadcast and their rows aren't moved. All others are joined by a shuffle.
-    rows is read twice, so it should be a table, not a long plan.
+    rows is read twice, so it should be a table, not a long plan. The others are shuffled at every size, so that plans don't change as tables grow.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
     hot = F.broadcast(facts.filter(F.col(size) > limit))
     cold = facts.filter(F.col(size) <= limit)
     near = rows.join(hot, key, "inner")
-    far = rows.join(F.broadcast(facts.filter(F.col(size) > limit).select(key)), key, "left_anti").join(cold, key, "left")
+    far = rows.join(F.broadcast(facts.filter(F.col(size) > limit).select(key)), key, "left_anti").join(cold.hint("merge"), key, "left")
     return near.unionByName(far)

@@ -2,7 +2,7 @@
 
 Every input partition makes one sorted run of (SHA-256, best id, count, bytes) records, cut into
 digest ranges. Runs then meet in rounds: in each, FAN neighbouring runs of a range are merged into
-one, and equal digests collapse to the id that stays. After ceil(log_FAN(partitions)) rounds there is
+one, without sorting again, and equal digests are folded to the id that stays. After ceil(log_FAN(partitions)) rounds there is
 one run a range. A digest occurs once in a run, so a group of copies that holds a third of all
 rows costs one record a partition, and no task ever sees the group's rows.
 
@@ -28,23 +28,23 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Runs that are merged into one in a round.
-FAN = 8
+FAN = 4
 #: Records a digest range should hold in the end.
 RANGE_RECORDS = 200_000
 NO_ID = np.iinfo(np.int64).min
-RUN = np.dtype([("d0", "u8"), ("d1", "u8"), ("d2", "u8"), ("d3", "u8"), ("id", "i8"), ("n", "i8"), ("bytes", "i8"), ("check", "i8")])
+#: A digest's bytes compare as the digest does: all have one length.
+RUN = np.dtype([("digest", "S32"), ("id", "i8"), ("n", "i8"), ("bytes", "i8"), ("check", "i8")])
 RUN_SCHEMA = "bucket int, run long, records binary"
 
 
-def collapse(records: np.ndarray, keep: str) -> np.ndarray:
-    """Sort by digest and fold equal digests; checks that they belong to equal texts."""
+def folded(records: np.ndarray, keep: str) -> np.ndarray:
+    """Sorted records with equal digests made one; checks that they belong to equal texts."""
     if not len(records):
         return records
-    records = records[np.lexsort((records["d3"], records["d2"], records["d1"], records["d0"]))]
-    same = np.ones(len(records), bool)
-    same[0] = False
-    for d in ("d0", "d1", "d2", "d3"):
-        same[1:] &= records[d][1:] == records[d][:-1]
+    digest = records["digest"].copy()
+    same = np.concatenate([[False], digest[1:] == digest[:-1]])
+    if not same.any():
+        return records
     if (same[1:] & ((records["bytes"][1:] != records["bytes"][:-1]) | (records["check"][1:] != records["check"][:-1]))).any():
         raise ValueError("texts of different length or check hash share a SHA-256 digest")
     first = np.flatnonzero(~same)
@@ -59,30 +59,49 @@ def collapse(records: np.ndarray, keep: str) -> np.ndarray:
     return out
 
 
+def sorted_run(records: np.ndarray, keep: str) -> np.ndarray:
+    return folded(records[np.argsort(records["digest"], kind="stable")], keep)
+
+
+def merged(one: np.ndarray, two: np.ndarray, keep: str) -> np.ndarray:
+    """Merge of two sorted runs, without sorting again: each record of the second goes behind those of the first that aren't greater."""
+    at = np.searchsorted(one["digest"].copy(), two["digest"].copy(), side="right") + np.arange(len(two))
+    out, from_one = np.empty(len(one) + len(two), RUN), np.ones(len(one) + len(two), bool)
+    from_one[at] = False
+    out[at], out[from_one] = two, one
+    return folded(out, keep)
+
+
+def multiway(runs: list[np.ndarray], keep: str) -> np.ndarray:
+    """Merge of several sorted runs, as a tournament of pairs."""
+    while len(runs) > 1:
+        pairs = [merged(a, b, keep) for a, b in zip(runs[::2], runs[1::2], strict=False)]
+        runs = pairs + runs[len(runs) & ~1 :]
+    return runs[0]
+
+
 def runs_of(keyed: DataFrame, buckets: int, keep: str) -> DataFrame:
     """One sorted run a partition and digest range."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, held, size = TaskContext.get().partitionId(), [], 0
+        run, held = TaskContext.get().partitionId(), []
         for b in batches:
             if not b.num_rows:
                 continue
-            words = np.frombuffer(b"".join(b.column("digest").to_pylist()), ">u8").reshape(-1, 4)
             r = np.empty(b.num_rows, RUN)
-            for k in range(4):
-                r[f"d{k}"] = words[:, k]
+            r["digest"] = np.frombuffer(b"".join(b.column("digest").to_pylist()), "S32")
             r["id"] = b.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             r["n"] = 1
             r["bytes"] = b.column("n_bytes").to_numpy(zero_copy_only=False)
             r["check"] = b.column("check").to_numpy(zero_copy_only=False)
-            held.append(collapse(r, keep))
-            size += len(held[-1])
+            held.append(sorted_run(r, keep))
             if len(held) > 16:
-                held = [collapse(np.concatenate(held), keep)]
+                held = [multiway(held, keep)]
         if not held:
             return
-        records = collapse(np.concatenate(held), keep)
-        bucket = (records["d0"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        records = multiway(held, keep)
+        lead = records["digest"].astype("S8").view(">u8").astype("u8")
+        bucket = (lead >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype="u8"))
         rows = [(k, run, records[a:z].tobytes()) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["bucket", "run", "records"])
@@ -92,14 +111,15 @@ def runs_of(keyed: DataFrame, buckets: int, keep: str) -> DataFrame:
 
 def merge_rounds(runs: DataFrame, count: int, keep: str) -> DataFrame:
     """Merge FAN neighbouring runs a round until each range has one."""
+    fan = FAN
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        merged = collapse(np.concatenate([np.frombuffer(x, RUN) for x in group["records"]]), keep)
-        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "run": group["run"].iloc[:1] // FAN, "records": [merged.tobytes()]})
+        records = multiway([np.frombuffer(x, RUN) for x in group["records"]], keep)
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "run": group["run"].iloc[:1] // fan, "records": [records.tobytes()]})
 
     while count > 1:
-        runs = runs.groupBy("bucket", F.floor(F.col("run") / FAN).alias("round")).applyInPandas(lambda _, group: merge(group), RUN_SCHEMA)
-        count = -(-count // FAN)
+        runs = runs.groupBy("bucket", F.floor(F.col("run") / fan).alias("round")).applyInPandas(lambda _, group: merge(group), RUN_SCHEMA)
+        count = -(-count // fan)
     return runs
 
 
@@ -111,7 +131,7 @@ def copied_groups(runs: DataFrame) -> DataFrame:
             for blob in b.column("records").to_pylist():
                 r = np.frombuffer(blob, RUN)
                 r = r[r["n"] > 1]
-                words = np.stack([r[f"d{k}"] for k in range(4)], axis=1).astype(">u8").tobytes()
+                words = r["digest"].tobytes()
                 digests = pa.array([words[i : i + 32] for i in range(0, len(words), 32)], pa.binary())
                 yield pa.RecordBatch.from_arrays([digests, pa.array(r["id"], mask=r["id"] == NO_ID), pa.array(r["n"])], ["digest", "keep_id", "group_size"])
 
@@ -119,7 +139,11 @@ def copied_groups(runs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. keep: which doc_id of equal texts stays, "max" or "min"."""
+    """One row per document, a table: doc_id, keep_id, group_size, kept, text_sha256. keep: which doc_id of equal texts stays, "max" or "min"."""
+    return C.sealed(docs.sparkSession, lambda: decided_rows(docs, keep), "decided")
+
+
+def decided_rows(docs: DataFrame, keep: str) -> DataFrame:
     text = C.text_of()
     keyed = C.materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -141,20 +165,21 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    decided = C.materialize(exact_dedup(docs, keep), "decided")
-    dropped = decided.filter(~F.col("kept")).select("doc_id", "text_sha256")
-    own = F.sha2(C.text_of(), 256)
-    twice = decided.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count() > 0
-    tagged = docs.withColumn("__digest", own)
-    if twice:  # of rows that repeat id and text one stays, the first by a hash of all its columns
-        tagged = tagged.withColumn("__order", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        least = tagged.groupBy("doc_id", "__digest").agg(F.min("__order").alias("__order"))
-        tagged = tagged.dropDuplicates(["doc_id", "__digest", "__order"]).join(least.select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__d"), F.col("__order").alias("__o")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")) & (F.col("__order") == F.col("__o")), "left_semi")
-        stay = decided.filter("kept").select("doc_id", "text_sha256").distinct()
-        dropped = dropped.join(stay.select(F.col("doc_id").alias("s_id"), F.col("text_sha256").alias("s_d")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_sha256") == F.col("s_d")), "left_anti").distinct()
-    gone = dropped.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_digest"))
-    return tagged.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__gone_digest")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text the first by a hash of all columns."""
+    decided = exact_dedup(docs, keep)
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("text_sha256").alias("digest")).alias("k")
+    stays = decided.groupBy(key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    gone, copies = (C.materialize(stays.filter(x).select("k"), "keys") for x in ("not kept", "kept and n > 1"))
+    C.discard(decided)
+    # whole rows are one column here, so that names can't clash
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(C.text_of(), 256).alias("digest"))
+    keyed = docs.select(own.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("v"))
+    same = lambda keys: keyed["k"].eqNullSafe(keys["k"])
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if not copies.limit(1).count():
+        return kept.select("v.*")
+    first = kept.join(copies, same(copies), "left_semi").groupBy("k").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    return kept.join(copies, same(copies), "left_anti").select("v.*").unionByName(first.select("v.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
