@@ -6,10 +6,10 @@ whole number of copies and a fraction. Fractions are rounded in blocks of about
 document of each block that stays fractional goes to the next level, where blocks of residuals are rounded likewise, up to one a source. The
 mass of a source never changes on the way, and its last document is rounded to the nearer side, so what is taken
 misses the target by half a document at most.
-Blocks are chosen by a hash of doc_id, so a source with most of all rows has more blocks, not larger ones.
+Blocks are chosen by a hash of doc_id and text, so a source with most of all rows has more blocks, not larger ones.
 
 Defined cases. Null text: size 0, never taken. Null source: a source of its own, after all others. Null doc_id: rounded like any other.
-Rows that repeat doc_id, source and size: each is rounded on its own. All sizes 0: all targets 0. Empty table: no rows. Other
+Rows that repeat doc_id, source and text: each is rounded on its own. All sizes 0: all targets 0. Empty table: no rows. Other
 columns don't take part. Equal inputs give equal results, however they are partitioned.
 """
 
@@ -113,39 +113,43 @@ def outcomes(decided: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame) -> DataFrame:
     source = F.col("source").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"), words_of(C.text_of()).alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"), words_of(C.text_of()).alias("size"), F.xxhash64(C.text_of()).alias("text_hash"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """doc_id, size, source_size, target, taken, skey for every row."""
+    """doc_id, size, source_size, target, taken, skey, text_hash for every row, a table."""
+    return C.sealed(docs.sparkSession, lambda: mixed_rows(docs, weights, most), "mixed")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     rows = C.materialize(sized(docs), "sizes")
     targets = source_targets(rows, weights, most)
     joined = C.join_group_facts(rows, targets, "skey", "n", rows.count())
     x = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     blocks = F.ceil(F.col("n") / BLOCK)
-    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), blocks)
-    level_rows = joined.select("skey", block.alias("block"), F.col("doc_id").alias("id"), F.col("size").cast("double").alias("a"), ((x - F.floor(x)) * F.col("size")).alias("m"), F.struct("source_size", "target", F.floor(x).alias("whole")).alias("tag"))
+    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text_hash"), blocks)
+    level_rows = joined.select("skey", block.alias("block"), F.col("doc_id").alias("id"), F.col("size").cast("double").alias("a"), ((x - F.floor(x)) * F.col("size")).alias("m"), F.struct("source_size", "target", F.floor(x).alias("whole"), "text_hash").alias("tag"))
     most_rows = targets.agg(F.max("n")).first()[0] or 0
     found = outcomes(rounded(level_rows, max(1, -(-most_rows // BLOCK)), 0))
     size = F.col("a").cast("long")
-    return found.select(F.col("id").alias("doc_id"), size.alias("size"), F.col("tag.source_size"), F.col("tag.target"), (size * (F.col("tag.whole") + F.col("is_up").cast("long"))).alias("taken"), "skey")
+    return found.select(F.col("id").alias("doc_id"), size.alias("size"), F.col("tag.source_size"), F.col("tag.target"), (size * (F.col("tag.whole") + F.col("is_up").cast("long"))).alias("taken"), "skey", "tag.text_hash")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    taken = C.materialize(mix(docs, weights, most), "mixed").filter("taken > 0")
-    key = ["__id", "__skey", "__size"]
-    copies = taken.groupBy(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list((F.col("taken") / F.col("size")).cast("int"))).alias("__copies"))
-    copies = copies.select(F.struct(*key).alias("__key"), "__copies")
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("__skey"), words_of(C.text_of()).alias("__size")))
-    if copies.filter(F.size("__copies") > 1).limit(1).count():  # rows that repeat id, source and size share a list of copies
-        nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-        keyed = keyed.withColumn("__nth", nth)
-    else:
-        keyed = keyed.withColumn("__nth", F.lit(1))
+    mixed = mix(docs, weights, most)
+    key = F.struct(F.col("doc_id").alias("id"), "skey", "text_hash").alias("k")
+    copies = C.materialize(mixed.filter("taken > 0").groupBy(key).agg(F.sort_array(F.collect_list((F.col("taken") / F.col("size")).cast("int"))).alias("copies")), "copies")
+    C.discard(mixed)
+    # whole rows are one column here, so that names can't clash
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"), F.xxhash64(C.text_of()).alias("text_hash"))
+    keyed = docs.select(own.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("v"))
+    nth = F.lit(1)
+    if copies.filter(F.size("copies") > 1).limit(1).count():  # rows that repeat id, source and text share a list of copies
+        nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("v")))
     # copies grow with docs, so both are shuffled at every size
-    joined = keyed.join(copies.hint("merge"), "__key").withColumn("__n", F.get("__copies", F.col("__nth") - 1)).filter("__n > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = keyed.withColumn("nth", nth).join(copies.hint("merge"), "k").withColumn("n", F.get("copies", F.col("nth") - 1)).filter("n > 0")
+    return joined.select("v", F.explode(F.sequence(F.lit(1), F.col("n")))).select("v.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
