@@ -7,8 +7,8 @@ record, so they can be in any store that Spark writes. Files are gzip-compressed
 read with the binaryFile source by their Content-Length fields, so payloads may hold anything.
 
 Defined cases. Null html: the empty payload. Null page_id: written without an id, read as null, never chosen as
-the response while another page has the payload. Rows that repeat the chosen page_id and html are all
-responses. Payloads under min_bytes are all responses. Empty table: no records. Other columns don't take part,
+the response while another page has the payload. Of rows that repeat the chosen page_id and html the first by url is
+the response, the others revisit it. Payloads under min_bytes are all responses. Empty table: no records. Other columns don't take part,
 but for url, which becomes WARC-Target-URI if it's there.
 """
 
@@ -17,17 +17,19 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Records in a file at most; a file is read back as one cell.
-FILE_RECORDS = 5_000
+#: Records in a file at most, and bytes of payload in a file by their mean; a file is read back as one cell of its compressed bytes, a record at a time.
+FILE_RECORDS, FILE_BYTES = 5_000, 2**27
 #: Fixed values of the archive format (ISO 28500, WARC 1.1).
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -87,27 +89,38 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, keep: str =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), uri.alias("uri"), C.text_of("html").alias("html"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("html")))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
-    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    rows = rows.select("page_id", "uri", "html", "payload_digest", "refers_to", F.col("refers_to").isNotNull().alias("again"))
+    key = F.struct(F.col("page_id"), F.col("payload_digest")).alias("k")
+    alike = decided.filter(F.col("refers_to").isNull() & (F.col("payload_bytes") >= min_bytes)).groupBy(key).count().filter("count > 1").select("k")
+    if alike.limit(1).count():  # rows that repeat a response
+        keyed = rows.select(key, "*")
+        same = lambda x: keyed["k"].eqNullSafe(x["k"])
+        twins = keyed.join(alike, same(alike), "left_semi").withColumn("again", F.row_number().over(Window.partitionBy("k").orderBy("uri")) > 1)
+        twins = twins.withColumn("refers_to", F.when(F.col("again"), F.col("page_id")))
+        rows = keyed.join(alike, same(alike), "left_anti").unionByName(twins).drop("k")
+    kind = F.when(F.col("again"), "revisit").otherwise("response")
     lines = rows.select(record_text(kind, F.col("uri"), F.col("page_id"), F.col("payload_digest"), F.octet_length("html"), F.col("refers_to"), F.col("html")).alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
+    records = max(1, min(FILE_RECORDS, int(FILE_BYTES / (mean + 1))))
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
     C.discard(headers)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of every record."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode("utf-8").split("\r\n")
-        if not re.fullmatch(r"WARC/\d\.\d", lines[0]):
-            raise ValueError(f"no record begins at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = head_end + 4
-        end = start + int(fields["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its Content-Length says")
-        yield fields, data[start:end]
-        at = end + 4
+    while line := stream.readline():
+        if not re.fullmatch(rb"WARC/\d\.\d\r\n", line):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        fields = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("the archive ends inside a header")
+            name, _, value = line.decode("utf-8").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = stream.read(int(fields["content-length"]))
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError("a record doesn't end where its Content-Length says")
+        yield fields, block
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -120,9 +133,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 data = b.column("content")[k].as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                stream = io.BytesIO(data)
                 out: list[list] = [[] for _ in range(8)]
-                for fields, block in parse_archive(data):
+                for fields, block in parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if data[:2] == b"\x1f\x8b" else stream):
                     held = fields["warc-type"] == "response"
                     digest = base64.b32encode(hashlib.sha1(block).digest()).decode() if held else None
                     row = (page(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], page(fields.get("warc-refers-to")), len(block), len(block) if held else None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), digest)
@@ -150,6 +163,7 @@ def resolve_records(records: DataFrame) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.fresh_path(spark, "warc")
     write_archives(C.load(spark, sf_dir, "pages"), path, min_bytes=0, keep="max")
+    C.release(spark)
     records = C.materialize(read_archives(spark, path), "records")
     C.remove_path(spark, path)
     return resolve_records(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
