@@ -122,7 +122,7 @@ def scan(text: str, find: ahocorasick.Automaton, allowed: Callable[[str], bool])
     stream = f" {b' '.join(words).decode('latin-1')} "
     first = last = None
     n_base, base, labels, doubt, expressions = 0, set(), set(), 1.0, []
-    counted, at = 0, 0
+    counted, at, read = 0, 0, False
     for end, phrase in sorted(find.iter(stream), key=lambda x: x[0] - len(x[1])):
         start = end - len(phrase) - 1  # of the space before it
         counted += stream.count(" ", at, start)
@@ -135,7 +135,8 @@ def scan(text: str, find: ahocorasick.Automaton, allowed: Callable[[str], bool])
         if phrase in NOTICES:
             labels.add(NOTICES[phrase])
             doubt *= 1 - WEIGHTS["notice"]
-        if phrase == TAG and not expressions:
+        if phrase == TAG and not read:
+            read = True  # all tags at once
             expressions = [p for line in TAG_LINE.findall(text) if (p := to_postfix(line))]
             for p in expressions:
                 labels.update(x for x in p if x not in BINDS)
