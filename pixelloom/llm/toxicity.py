@@ -2,7 +2,7 @@
 
 Learning: a token's features are the token and its beginnings (a stem can take any ending). How often features stand in toxic and in
 other labelled documents (a bounded sample) gives their log-odds under a Dirichlet prior whose shape is the feature counts of the whole
-corpus; features that aren't clearly in more toxic texts count 0, and a token has the score of its clearest feature. Every token also costs DRIFT, so that a
+corpus; only features count that are clearly in more toxic texts, by all texts and by different contexts, and a token has the score of its clearest feature. Every token also costs DRIFT, so that a
 segment ends where toxic tokens stop. Scoring: one linear scan finds all maximal scoring segments of a text. Calibration: the best segment
 of ordinary texts follows an extreme-value law in text length and score, whose two parameters are fitted on labelled non-toxic rows; a segment's
 significance is the negative logarithm of its chance under that law, a document's is the sum over its segments, and a logistic curve makes it a score.
@@ -20,15 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 from .quality import held_out
 
-#: Labelled rows of each kind to learn from at most, and features that are weighed at most.
+#: Labelled rows of each kind to learn from at most.
 SAMPLE_ROWS = 4_000
-VOCABULARY = 20_000
 #: Mass of the Dirichlet prior in tokens, standard errors for a clear sign, cost of a token, bound of a token's score.
 PRIOR, CLEAR, DRIFT, MOST = 2_000.0, 4.5, 0.05, 6.0
 #: Lengths in bytes of the beginnings that are features; a whole token is a feature with this byte at its end.
@@ -120,6 +119,8 @@ class Model:
         return sum(s for x in found if (s := self.significance(n, x)) > 1.0)
 
     def score(self, evidence: float) -> float:
+        if not self.scores:
+            return 0.0
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.offset + self.slope * evidence))))
 
 
@@ -150,6 +151,13 @@ def log_odds(seen: dict[bytes, Seen], texts: list[int], times: list[int], corpus
     return {f: (clarity, odds) for clarity, odds, f in found}
 
 
+def clear(n: Column, n_other: Column, texts: int, texts_other: int) -> Column:
+    """Whether a feature of n toxic texts and n_other others is clearly in more of the toxic ones; what isn't is no feature, and the others are few."""
+    share = (n + n_other) / float(texts + texts_other)
+    part = lambda y, size: F.when(y > 0, 2 * y * F.log(y / (size * share))).otherwise(0.0)
+    return (n * texts_other > n_other * texts) & (part(n, texts) + part(n_other, texts_other) >= CLEAR**2)
+
+
 def texts_with(docs: DataFrame) -> DataFrame:
     """label, feature, n: how many texts of each kind have a feature."""
 
@@ -222,11 +230,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({})
     kinds = C.materialize(texts_with(sample), "kinds")
     other = kinds.filter("label = 0").select("feature", F.col("n").alias("n_other"))
-    # features that no three toxic texts have, or that are no more frequent there, can't have a clear sign
-    excess = F.col("n") - F.coalesce("n_other", F.lit(0)) * (sizes[1] / sizes[0])
-    both = kinds.filter("label = 1 and n >= 3").select("feature", "n").join(other, "feature", "left").filter(excess > 0)
-    rows = both.orderBy(F.desc(excess / F.sqrt("n")), "feature").limit(VOCABULARY).collect()
-    seen = {bytes(r["feature"]): Seen([r["n_other"] or 0, r["n"]], [0, 0], [0, 0]) for r in rows}
+    both = kinds.filter("label = 1").select("feature", "n").join(other.hint("merge"), "feature", "left").select("feature", "n", F.coalesce("n_other", F.lit(0)).alias("n_other"))
+    rows = both.filter(clear(F.col("n"), F.col("n_other"), sizes[1], sizes[0])).collect()
+    seen = {bytes(r["feature"]): Seen([r["n_other"], r["n"]], [0, 0], [0, 0]) for r in rows}
     vocabulary, times = frozenset(seen), [0, 0]
     for r in occurrences(sample, vocabulary).collect():
         if (f := bytes(r["feature"])) == WHOLE:
@@ -235,11 +241,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             seen[f].times[r["label"]], seen[f].contexts[r["label"]] = r["times"], r["contexts"]
     corpus = {bytes(r["feature"]): r["n"] for r in counted(docs.select(C.text_of().alias("text")), vocabulary).collect()}
     model = Model(log_odds(seen, [sizes[0], sizes[1]], times, corpus, corpus.get(WHOLE, 0)))
-    found = [(r["label"], r["n"], r["all"]) for r in scanned(sample.withColumn("held_out", F.lit(False)), model, ["label"]).collect()]
-    decay, size = fit_extremes(np.array([(n, max(every, default=0.0)) for label, n, every in found if label == 0 and n]))
+    sample = sample.withColumn("held_out", F.lit(False))
+    found = scanned(sample.filter("label = 0"), model, ["label"]).select("n", "best").collect()
+    decay, size = fit_extremes(np.array([(r["n"], r["best"]) for r in found if r["n"]]))
     model = Model(model.scores, decay, size)
-    evidence = np.array([model.evidence(n, every) for _, n, every in found])
-    offset, slope = fit_curve(evidence, np.array([float(label) for label, *_ in found]))
+    found = [(r["label"], r["evidence"]) for r in scanned(sample, model, ["label"]).select("label", "evidence").collect()]
+    evidence = np.array([x for _, x in found])
+    offset, slope = fit_curve(evidence, np.array([float(label) for label, _ in found]))
     return Model(model.scores, decay, size, offset, slope)
 
 
@@ -270,23 +278,24 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def scanned(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:
-    """doc_id, held_out, n, score, all segments' scores, significant passages (first and last token, score) and the columns of more."""
+    """doc_id, held_out, n, score, score of the best segment, evidence, significant passages (first and last token, score) and the columns of more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passage, memory = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]), model.token_scores()
         for b in batches:
-            n, score, every, kept = [], [], [], []
+            n, score, best, evidence, kept = [], [], [], [], []
             for text in b.column("text"):
                 size, found = model.passages(text.as_py(), memory)
                 n.append(size)
-                every.append([x for _, _, x in found])
-                score.append(model.score(model.evidence(size, every[-1])))
+                best.append(max((x for *_, x in found), default=0.0))
+                evidence.append(model.evidence(size, [x for *_, x in found]))
+                score.append(model.score(evidence[-1]))
                 kept.append([{"first": a, "last": z, "score": x} for a, z, x in found if model.significance(size, x) > 1.0])
             columns = [b.column(c) for c in ("doc_id", "held_out", *more)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(every, pa.list_(pa.float64())), pa.array(kept, pa.list_(passage))], ["doc_id", "held_out", *more, "n", "score", "all", "passages"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(evidence, pa.float64()), pa.array(kept, pa.list_(passage))], ["doc_id", "held_out", *more, "n", "score", "best", "evidence", "passages"])
 
     extra = "".join(f", {c} int" for c in more)
-    return docs.select("doc_id", "held_out", *more, "text").mapInArrow(run, f"doc_id long, held_out boolean{extra}, n long, score double, all array<double>, passages array<struct<first: long, last: long, score: double>>")
+    return docs.select("doc_id", "held_out", *more, "text").mapInArrow(run, f"doc_id long, held_out boolean{extra}, n long, score double, best double, evidence double, passages array<struct<first: long, last: long, score: double>>")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
