@@ -15,11 +15,12 @@ table: no rows. Other columns don't take part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -94,13 +95,23 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def place_among(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted bounds aren't over key: first among every step-th one, then among the step behind it."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    under = lambda array: F.size(F.filter(array, lambda b: b <= key))
+    steps = under(F.array(*[F.lit(x).cast("long") for x in bounds[step - 1 :: step]]))
+    return step * steps + under(F.slice(F.array(*[F.lit(x).cast("long") for x in bounds]), step * steps + 1, F.lit(step)))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, bucket, guest, text: partitions hold ranges of doc_id in order, each with the first row of the next range (of the first one, after the last) as a guest."""
     spark = docs.sparkSession
     parts = C.partitions(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), C.text_of().alias("text"))
     bounds = sorted({int(x) for x in keyed.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    bucket = place_among(bounds, F.col("key"))
     firsts = {r["bucket"]: r["first"] for r in keyed.select(bucket.alias("bucket"), "key").groupBy("bucket").agg(F.min("key").alias("first")).collect()}
     used = sorted(firsts)
     before = {b: used[k - 1] for k, b in enumerate(used)}
