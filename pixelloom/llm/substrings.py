@@ -167,7 +167,7 @@ def marks(docs: DataFrame, buckets: int) -> DataFrame:
                 rows += [(doc, 1, data) for doc, data in by_doc(records["doc"][chosen], request)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc", "kind", "data"])
 
-    routed = docs.mapInArrow(find, ROUTED).repartition(buckets, "route").sortWithinPartitions("route")
+    routed = docs.mapInArrow(find, ROUTED).repartitionById(buckets, F.col("route").cast("int")).sortWithinPartitions("route")
     return routed.mapInArrow(meet, "doc long, kind int, data binary")
 
 
@@ -351,7 +351,7 @@ def resolved(docs: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["doc", "kind", "data"])
 
     asked = requests.groupBy("doc").agg(F.collect_list("data").alias("asked"))
-    routed = docs.join(asked, "doc").mapInArrow(expand, ROUTED).repartition(buckets, "route").sortWithinPartitions("route", "kind", "doc", "at")
+    routed = docs.join(asked.hint("merge"), "doc").mapInArrow(expand, ROUTED).repartitionById(buckets, F.pmod("route", F.lit(buckets)).cast("int")).sortWithinPartitions("route", "kind", "doc", "at")
     return routed.mapInArrow(resolve, "doc long, kind int, data binary")
 
 
@@ -395,7 +395,7 @@ def cleaned(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             )
 
     data = repeated.groupBy("doc").agg(F.collect_list("data").alias("data"))
-    return docs.join(data, "doc", "left").select("doc_id", "text", "data").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
+    return docs.join(data.hint("merge"), "doc", "left").select("doc_id", "text", "data").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>")
 
 
 def ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -413,7 +413,11 @@ def ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every document, a table."""
+    return C.sealed(docs.sparkSession, lambda: removed_repeats(docs), "removed")
+
+
+def removed_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows, texts = ordered(docs)
     buckets = C.partitions(spark)
