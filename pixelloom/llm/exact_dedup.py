@@ -175,6 +175,7 @@ def kept_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
     own = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(C.text_of(), 256).alias("digest"))
     keyed = docs.select(own.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("v"))
     same = lambda keys: keyed["k"].eqNullSafe(keys["k"])
+    gone = gone.hint("merge")  # copies grow with docs, so both are shuffled at every size
     kept = keyed.join(gone, same(gone), "left_anti")
     if not copies.limit(1).count():
         return kept.select("v.*")
