@@ -11,7 +11,9 @@ do their work inside those groups:
 2. Pivots. The first document of a group is its pivot. Distances of members to pivots that a bound from profiles of the sets
    doesn't rule out are computed from the whole sets; members in reach of a pivot are linked to it, and groups whose members are by then in one component are done.
 3. Regions and windows. The other groups are regions that are joined on their own. By the triangle inequality a member of the pivot's component that is nearer to the pivot
-   than all members of others, by more than the reach, links with none of them and is left out. Large regions are dealt as pairs of bounded blocks; inside, profiles, another pivot and its windows choose the pairs that are compared.
+   than all members of others, by more than the reach, links with none of them and is left out. Large regions are divided again and again: into Voronoi regions of several
+   pivots, which members near a border visit too, or, where members are as far from all pivots, by signatures under another hash (divided()). In small
+   regions profiles, another pivot and its windows choose the pairs that are compared.
 
 Defined cases. Null or empty text, or one of only white space: the empty set, linked with nothing. Fewer words than a shingle: one shingle, the whole sequence. Null doc_id: joined
 like any other; a component's id is its least doc_id that isn't null. Rows that repeat a doc_id or a text: a result row each. Empty table: no rows. Other columns don't take part.
@@ -34,8 +36,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Growth of the size classes, members of a block.
-RATIO, BLOCK = 1.5, 500
+#: Growth of the size classes, members of a region that is joined in one task.
+RATIO, BLOCK = 1.5, 1000
+#: Pivots of a region that is divided, copies of its members that this may make, rounds of division, rows that a copy of a pivot serves.
+PIVOTS, MOST_COPIES, ROUNDS, SHARE = 8, 3, 6, 2000
+#: Blocks that a region is dealt in at most, unless nothing else has made it smaller.
+MANY_BLOCKS = 100
+#: Sides of a region's members.
+HOME, VISITOR, LEFT, RIGHT = 0, 1, 10, 20
 #: A profile is the elements' number in each of COUNTS classes, then its parity in each of many finer ones: a power of 2 that grows with the set between these bounds.
 COUNTS, PARITIES = 256, (2048, 65536)
 #: Signatures that a task holds at most before it sends them.
@@ -265,19 +273,28 @@ def met(sent: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of the nodes in links (a, b): large-star and small-star steps, each a shuffle by node, until the links are stars around the least nodes."""
+    """(node, root) of the nodes in links (a, b): large-star and small-star steps, until the links are stars around the least nodes. A node with many links doesn't
+    get them all in one task."""
     edges = C.materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    total = edges.count()
+
+    def least_of(rows: DataFrame) -> DataFrame:
+        facts = rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("held"))
+        return C.join_group_facts(rows, facts, "u", "held", 2 * total)
+
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        edges = C.materialize(small, "edges")
+        large = C.materialize(least_of(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+        small = least_of(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
+        small = C.materialize(small, "edges")
+        C.discard(edges, large)
+        edges = small
         # a star has each node once on the outside, and no node on both sides
         ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("hub")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("hub")))
         if not ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("hub").alias("hub")).filter("out + hub > 1").limit(1).count():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            roots = C.materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+            C.discard(edges)
+            return roots
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -289,8 +306,17 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def with_pivots(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs (a table of pivot, node and others) joined with facts (pivot and others). A pivot of many pairs is copied, so that no task gets all its pairs."""
+    counts = pairs.groupBy("pivot").agg(F.count("*").alias("held"))
+    copies = F.ceil(F.col("held") / SHARE).cast("int")
+    dealt = C.join_group_facts(pairs, counts, "pivot", "held", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("node"), copies).cast("int")).drop("held")
+    copied = facts.join(counts.hint("merge"), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("held")
+    return dealt.join(copied.hint("merge"), ["pivot", "salt"]).drop("salt")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, reach: Reach) -> DataFrame:
-    """pairs (pivot, node) with their distance."""
+    """pairs (pivot, node), a table, with their distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,22 +328,13 @@ def compared(pairs: DataFrame, sets: DataFrame, reach: Reach) -> DataFrame:
                 out.append((1 - both / union, reach.links(both, union)))
             yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), pa.array([d for d, _ in out], pa.float64()), pa.array([x for _, x in out], pa.bool_())], ["pivot", "node", "distance", "linked"])
 
-    pairs = C.materialize(pairs, "pairs")
-    total = pairs.count()
-    counts = pairs.groupBy("pivot").agg(F.count("*").alias("held"))
-    limit = max(C.HOT_ROWS, total // C.HOT_SHARE)
-    # hot pivots are few, so their sets go to all tasks; the sets of other pivots go where their few members are
-    hot = F.broadcast(counts.filter(F.col("held") > limit).select("pivot"))
-    hot_sets = F.broadcast(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")).join(hot, "pivot", "left_semi"))
-    # both sides of the other joins grow with the documents, so they are shuffled at every size
-    near = pairs.join(hot, "pivot", "left_semi").join(sets.hint("merge"), "node").join(hot_sets, "pivot")
-    far = pairs.join(hot, "pivot", "left_anti").join(sets.hint("merge"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")).hint("merge"), "pivot")
-    columns = ["pivot", "node", "pivot_set", "set"]
-    return near.select(columns).unionByName(far.select(columns)).mapInArrow(run, "pivot long, node long, distance double, linked boolean")
+    met = with_pivots(pairs, sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")))
+    met = met.join(sets.hint("merge"), "node").select("pivot", "node", "pivot_set", "set")
+    return met.mapInArrow(run, "pivot long, node long, distance double, linked boolean")
 
 
 def bounded(pairs: DataFrame, profiles: DataFrame, reach: Reach) -> DataFrame:
-    """pairs (pivot, node) with bound, a distance that theirs isn't under by their profiles, and fits, whether they can link: class counts differ by no more than the sets do."""
+    """pairs (pivot, node), a table, with bound, a distance that theirs isn't under by their profiles, and fits, whether they can link: class counts differ by no more than the sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,7 +353,7 @@ def bounded(pairs: DataFrame, profiles: DataFrame, reach: Reach) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), pa.array(1 - common / (n + m - common)), pa.array(fits)], ["pivot", "node", "bound", "fits"])
 
     of_pivots = profiles.select(F.col("node").alias("pivot"), F.col("profile").alias("pivot_profile"), F.col("n").alias("pivot_n"))
-    return pairs.join(profiles, "node").join(of_pivots, "pivot").mapInArrow(run, "pivot long, node long, bound double, fits boolean")
+    return with_pivots(pairs, of_pivots).join(profiles.hint("merge"), "node").mapInArrow(run, "pivot long, node long, bound double, fits boolean")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -356,7 +373,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 @dataclass
 class Members:
-    """Members of a block: their components and sides (-1: compared with all), sizes, profiles, and distances to the pivot, nan where unknown."""
+    """Members of a region: their components and sides, sizes, profiles, and distances to the pivot, nan where unknown. Sides: HOME is compared with all, VISITOR with
+    HOME, LEFT and RIGHT with each other."""
 
     comp: np.ndarray
     side: np.ndarray
@@ -365,10 +383,11 @@ class Members:
     distance: np.ndarray
 
     def partners(self, i: int, reach: Reach) -> np.ndarray:
-        """Later members that may link with member i: of another component and side, within the window, of like size and counts, neither being the pivot."""
+        """Later members that may link with member i: of another component, of a side that i is compared with, within the window, of like size and counts, neither being the pivot."""
         j = np.arange(i + 1, len(self.comp))
         small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
-        fits = (self.comp[j] != self.comp[i]) & ((self.side[j] != self.side[i]) | (self.side[i] < 0)) & (reach.den * small >= reach.num * large)
+        meet = (self.side[j] == HOME) | (self.side[i] == HOME) | (self.side[i] + self.side[j] == LEFT + RIGHT)
+        fits = (self.comp[j] != self.comp[i]) & meet & (reach.den * small >= reach.num * large)
         fits &= (self.distance[j] != 0) & (self.distance[i] != 0)  # these have been compared
         fits &= ~(np.abs(self.distance[j] - self.distance[i]) > reach.radius() + 1e-9)
         j = j[fits]
@@ -395,31 +414,137 @@ def within(nodes: np.ndarray, sets: list[np.ndarray], members: Members, reach: R
     return found
 
 
-def regions_of(groups: DataFrame, roots: DataFrame, distances: DataFrame, reach: Reach) -> DataFrame:
-    """(region, x, y, side, node, comp, distance): blocks of the groups that aren't in one component yet. distances has for pivots and nodes the distance or a bound of it."""
-    of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    member = groups.join(roots, "node", "left").join(of_pivot, "pivot", "left").join(distances, ["pivot", "node"], "left")
-    comp, main = F.coalesce("root", "node"), F.coalesce("pivot_root", "pivot")
+def open_groups(groups: DataFrame, roots: DataFrame, distances: DataFrame, reach: Reach) -> DataFrame:
+    """(region, node, comp, distance, held) of the groups that aren't in one component yet, a table; held is the number of members. distances has for pivots and nodes the distance or a bound of it."""
+    member = groups.join(roots.hint("merge"), "node", "left").join(distances.hint("merge"), ["pivot", "node"], "left")
     far = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance"))
-    member = C.materialize(member.select("grp", "size", "node", comp.alias("comp"), (comp == main).alias("main"), far.alias("distance"), "bound"), "members")
+    member = C.materialize(member.select("grp", "size", "node", F.coalesce("root", "node").alias("comp"), (F.col("node") == F.col("pivot")).alias("is_pivot"), far.alias("distance"), "bound"), "members")
+    total = member.count()
+    main = member.filter("is_pivot").select("grp", F.col("comp").alias("main"), "size")
+    sided = C.join_group_facts(member.drop("size"), main, "grp", "size", total)
     # by the triangle inequality a member of the pivot's component that is nearer to the pivot than all others by more than the radius links with none of them
-    near = F.min(F.when(~F.col("main"), F.coalesce("distance", "bound", F.lit(0.0))))
-    others = member.groupBy("grp").agg(near.alias("near")).filter(F.col("near").isNotNull())
-    windows = ~F.col("main") | F.col("distance").isNull() | (F.col("distance") >= F.col("near") - reach.radius() - 1e-9)
-    kept = member.join(others, "grp").filter(windows)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "grp"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return dealt.withColumn("at", F.explode(pair)).select(F.col("grp").alias("region"), "at.x", "at.y", F.when(F.col("at.x") == F.col("at.y"), -1).otherwise(F.col("block")).alias("side"), "node", "comp", "distance")
+    others = F.col("comp") != F.col("main")
+    sided = C.materialize(sided.select("grp", "size", "node", "comp", others.alias("other"), "distance", "bound"), "sided")
+    near = sided.filter("other").groupBy("grp").agg(F.min(F.coalesce("distance", "bound", F.lit(0.0))).alias("near"), F.first("size").alias("held"))
+    windows = F.col("other") | F.col("distance").isNull() | (F.col("distance") >= F.col("near") - reach.radius() - 1e-9)
+    kept = C.join_group_facts(sided, near, "grp", "held", total).filter("near is not null").filter(windows)
+    kept = C.materialize(kept.select(F.col("grp").alias("region"), "node", "comp", "distance"), "open")
+    C.discard(member, sided)
+    return counted(kept, "open")
+
+
+def counted(members: DataFrame, name: str) -> DataFrame:
+    """members (a table, with region and comp) of regions with more than one component, with held, the number of members, a table in place of members."""
+    counts = members.groupBy("region").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    out = C.materialize(C.join_group_facts(members, counts, "region", "held", members.count()).filter("low < high").drop("low", "high"), name)
+    C.discard(members)
+    return out
+
+
+def divided(open_: DataFrame, sets: DataFrame, reach: Reach, size: int) -> DataFrame:
+    """(region, node, comp, side): regions of at most `size` members in which all links of the regions in open_ (region, node, comp, held), which are larger, are found again.
+
+    A region is divided by several pivots drawn from it: each member lives in the Voronoi region of the nearest and visits those that are farther by at most twice
+    the reach, as by the triangle inequality none of its partners lives in others; and so on, until regions are small. Where that would copy members too often,
+    because they are as far from every pivot, the region is dealt as pairs of blocks, or, if it has more than MANY_BLOCKS of them, its members meet again at their signatures under another hash:
+    linked sets do, and others that have met by one shared passage rarely do.
+    """
+    done = []
+    state = C.materialize(open_.select("region", "node", "comp", F.lit(HOME).alias("side"), "held"), "regions")
+    for level in range(ROUNDS):
+        if not state.limit(1).count():
+            break
+        placed = C.materialize(with_nearest(state, sets, reach, level), "placed")
+        C.release(placed.sparkSession)
+        total = placed.groupBy("region").agg(F.sum(F.size("into")).alias("copies"), F.count("*").alias("held"))
+        cost = C.join_group_facts(placed, total, "region", "held", placed.count())
+        parts = C.materialize(cost.withColumn("stuck", F.col("copies") > MOST_COPIES * F.col("held")), "parts")
+        C.discard(placed, state)
+        voronoi = parts.filter("not stuck").select("region", "node", "comp", "side", "home", F.explode("into").alias("k"))
+        voronoi = voronoi.select(F.xxhash64("region", "k", F.lit(level)).alias("region"), "node", "comp", F.when((F.col("side") == HOME) & (F.col("k") == F.col("home")), HOME).otherwise(VISITOR).alias("side"))
+        many = F.col("held") * 2 > MANY_BLOCKS * size
+        again = signed_again(parts.filter("stuck").filter(many).select("region", "node", "comp", "side"), sets, reach, level)
+        done.append(C.materialize(blocks_of(parts.filter("stuck").filter(~many), size), "regions"))
+        members = C.materialize(voronoi.unionByName(again), "regions")
+        C.discard(parts)
+        members = counted(members, "regions")
+        done.append(C.materialize(members.filter(F.col("held") <= size).select("region", "node", "comp", "side"), "regions"))
+        state = C.materialize(members.filter(F.col("held") > size), "regions")
+        C.discard(members)
+    done.append(C.materialize(blocks_of(state, size), "regions"))
+    C.discard(state)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def with_nearest(state: DataFrame, sets: DataFrame, reach: Reach, level: int) -> DataFrame:
+    """state (region, node, comp, side, held) with home, the number of the nearest of its region's pivots, and into, the numbers of the regions it lives in or visits."""
+    drawn = F.xxhash64("region", "node", F.lit(level))
+    rare = F.pmod(drawn, F.col("held")) < 2 * PIVOTS  # about as many of each region, however large
+    pivots = state.filter(rare).groupBy("region").agg(F.slice(F.sort_array(F.collect_set(F.struct(drawn.alias("drawn"), "node"))), 1, PIVOTS).alias("p"), F.first("held").alias("held"))
+    chosen = pivots.select("region", "held", F.posexplode("p.node").alias("k", "node")).join(sets.hint("merge"), "node")
+    copies = F.ceil(F.col("held") / SHARE).cast("int")
+    chosen = chosen.select("region", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.lit(0).alias("kind"), "node", F.lit(None).cast("long").alias("comp"), F.col("k").alias("side"), "set")
+    members = state.join(sets.hint("merge"), "node").select("region", F.pmod(F.xxhash64("node"), copies).cast("int").alias("salt"), F.lit(1).alias("kind"), "node", "comp", "side", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            rows = []
+            for region, salt, kind, node, comp, side, blob in zip(*(b.column(c).to_pylist() for c in ("region", "salt", "kind", "node", "comp", "side", "set")), strict=True):
+                if at != (region, salt):
+                    at, held = (region, salt), []
+                h = np.frombuffer(blob, "u8")
+                if kind == 0:
+                    held.append((side, h))
+                    continue
+                far = [1 - (both := common_size(h, p)) / (len(h) + len(p) - both) for _, p in held] or [0.0]
+                names = [k for k, _ in held] or [0]
+                near = min(far)
+                rows.append((region, node, comp, side, names[far.index(near)], [k for k, d in zip(names, far, strict=True) if d - near <= 2 * reach.radius() + 1e-9]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["region", "node", "comp", "side", "home", "into"])
+
+    dealt = chosen.unionByName(members).repartition(C.partitions(state.sparkSession), "region", "salt").sortWithinPartitions("region", "salt", "kind", "side", "node")
+    return dealt.mapInArrow(run, "region long, node long, comp long, side int, home int, into array<int>")
+
+
+def signed_again(members: DataFrame, sets: DataFrame, reach: Reach, level: int) -> DataFrame:
+    """members (region, node, comp, side) in the groups in which they meet by signatures under another hash; those that meet nobody are left out by counted()."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [signatures(mixed(np.frombuffer(blob, "u8") + np.uint64((level + 1) * int(ODD[3]) % 2**64)), reach) for blob in b.column("set").to_pylist()]
+            which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            key = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(which)) for c in ("region", "node", "comp", "side"))], ["key", "region", "node", "comp", "side"])
+
+    rows = members.join(sets.hint("merge"), "node").select("region", "node", "comp", "side", "set").mapInArrow(run, "key long, region long, node long, comp long, side int")
+    return rows.select(F.xxhash64("region", "key").alias("region"), "node", "comp", "side")
+
+
+def blocks_of(state: DataFrame, size: int) -> DataFrame:
+    """(region, node, comp, side): the members of each region of state (region, node, comp, held) in blocks, a region for each pair of blocks."""
+    blocks = F.ceil(2 * F.col("held") / size).cast("int")
+    dealt = state.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(x == y, HOME).when(F.col("block") == x, LEFT).otherwise(RIGHT)
+    return other.select(F.xxhash64("region", x, y, F.lit("blocks")).alias("region"), "node", "comp", side.alias("side"))
 
-def joined_blocks(blocks: DataFrame, profiles: DataFrame, sets: DataFrame, reach: Reach) -> DataFrame:
-    """(a, b): links inside the blocks. Profiles go through the blocks first, so that only members with a possible partner need their sets."""
-    keys = ["region", "x", "y"]
-    names = [*keys, "side", "node", "comp"]
+
+def dealt_by_region(df: DataFrame) -> DataFrame:
+    return df.repartition(C.partitions(df.sparkSession), "region").sortWithinPartitions("region", "node")
+
+
+def screened(regions: DataFrame, profiles: DataFrame, reach: Reach) -> DataFrame:
+    """Of regions (region, node, comp, side, distance) the members that have a possible partner, by their profiles."""
+    names = ["region", "node", "comp", "side"]
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, keys):
+        for t in grouped(batches, ["region"]):
             members = Members(*(t.column(c).to_numpy() for c in ("comp", "side", "n")), Profiles.of(t.column("profile").to_pylist()), t.column("distance").to_numpy().astype(float))
             some = np.zeros(t.num_rows, bool)
             for i in range(t.num_rows - 1):
@@ -429,22 +554,26 @@ def joined_blocks(blocks: DataFrame, profiles: DataFrame, sets: DataFrame, reach
             if some.any():
                 yield from t.select(names).filter(pa.array(some)).combine_chunks().to_batches()
 
+    profiled = dealt_by_region(regions.join(profiles.hint("merge"), "node").select(*names, "distance", "n", "profile"))
+    return profiled.mapInArrow(screen, "region long, node long, comp long, side int")
+
+
+def joined(regions: DataFrame, sets: DataFrame, reach: Reach) -> DataFrame:
+    """(a, b): links inside the regions (region, node, comp, side)."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, keys):
+        for t in grouped(batches, ["region"]):
             held = [np.frombuffer(s, "u8") for s in t.column("set").to_pylist()]
             size = np.array([len(h) for h in held])
             members = Members(t.column("comp").to_numpy().copy(), t.column("side").to_numpy(), size, Profiles.of([profile_of(h) for h in held]), np.zeros(0))
             found = within(t.column("node").to_numpy(), held, members, reach)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    dealt = lambda df: df.repartition(C.partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, "node")
-    profiled = dealt(blocks.join(profiles, "node").select(*names, "distance", "n", "profile"))
-    screened = C.materialize(profiled.mapInArrow(screen, "region long, x int, y int, side int, node long, comp long"), "screened")
-    return dealt(screened.join(sets.hint("merge"), "node").select(*names, "set")).mapInArrow(join, "a long, b long")
+    return dealt_by_region(regions.join(sets.hint("merge"), "node").select("region", "node", "comp", "side", "set")).mapInArrow(join, "a long, b long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, reach: Reach) -> DataFrame:
-    """(node, set) of the chosen nodes, from their rows of docs."""
+def sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, reach: Reach, few: bool = False) -> DataFrame:
+    """(node, set) of the chosen nodes, from their rows of docs, a table. few: texts aren't shuffled if the chosen are under Spark's bound for broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # rows that repeat are in one partition
@@ -456,9 +585,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, reach: Reach)
                     found.append((n, h.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], ["node", "set"])
 
-    wanted = nodes.join(chosen, "node").select("node", "row", "digest")
+    wanted = C.materialize(nodes.join(chosen.hint("merge"), "node").select("node", "row", "digest"), "wanted")
     text = docs.select(row_key().alias("row"), C.text_of().alias("text"))
-    return text.join(wanted.hint("merge"), "row").mapInArrow(run, "node long, set binary")
+    found = C.materialize(text.join(wanted if few else wanted.hint("merge"), "row").mapInArrow(run, "node long, set binary"), "sets")
+    C.discard(wanted)
+    return found
 
 
 def jaccard_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
@@ -467,8 +598,12 @@ def jaccard_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame
 
 
 def rooted_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
-    """doc_id, row (its row_key()), n_shingles, root (a node of its component), component_id of every document."""
-    reach = reach or Reach()
+    """doc_id, row (its row_key()), n_shingles, root (a node of its component), component_id of every document, a table."""
+    return C.sealed(docs.sparkSession, lambda: labelled(*linked_nodes(docs, reach or Reach())), "rooted")
+
+
+def linked_nodes(docs: DataFrame, reach: Reach) -> tuple[DataFrame, DataFrame]:
+    """Documents' nodes, and (node, root) of the nodes that have links. Tables are deleted when they have been read for the last time."""
     spark = docs.sparkSession
     path = C.fresh_path(spark, "signed")
     rows = signed(docs, reach, C.partitions(spark))
@@ -479,32 +614,58 @@ def rooted_components(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
     meetings = C.materialize(met(table.filter("sent").select("bucket", "node", "keys")), "met")
     C.remove_path(spark, f"{path}/sent=true")
     C.release(spark)
-    degrees = meetings.filter("degree is not null").groupBy("node").agg(F.sum("degree").alias("degree"))
-    groups = meetings.filter("grp is not null").select("grp", "node").distinct().join(degrees, "node")
-    # the pivot of a group meets the most others: what copies were made from, if it is there
-    pivots = groups.groupBy("grp").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("size"))
-    groups = C.materialize(groups.drop("degree").join(pivots, "grp"), "groups")
-    stars = groups.filter("node != pivot").select("pivot", "node").unionByName(meetings.filter("a is not null").select(F.col("a").alias("pivot"), "node")).distinct()
+    groups, stars = grouped_stars(meetings)
+    C.discard(meetings)
     bounds = C.materialize(bounded(stars, profiles, reach), "bounds")
-    pairs = bounds.filter("fits").select("pivot", "node")
-    chosen = pairs.select("pivot").union(pairs.select("node")).toDF("node").union(groups.select("node")).distinct()
-    sets = C.materialize(sets_of(docs, nodes, chosen, reach), "sets")
+    C.discard(stars)
+    C.release(spark)
+    pairs = C.materialize(bounds.filter("fits").select("pivot", "node"), "pairs")
+    sets = sets_of(docs, nodes, pairs.select("pivot").union(pairs.select("node")).toDF("node").distinct(), reach)
     C.release(spark)
     done = C.materialize(compared(pairs, sets, reach), "compared")
+    C.discard(pairs)
     C.release(spark)
-    links = done.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    roots = components(links)
-    distances = done.select("pivot", "node", "distance", F.lit(None).cast("double").alias("bound")).unionByName(bounds.filter("not fits").select("pivot", "node", F.lit(None).cast("double").alias("distance"), "bound"))
-    blocks = regions_of(groups, roots, distances, reach)
-    more = C.materialize(joined_blocks(blocks, profiles, sets, reach), "links")
+    roots = components(done.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    none = F.lit(None).cast("double")
+    distances = done.select("pivot", "node", "distance", none.alias("bound")).unionByName(bounds.filter("not fits").select("pivot", "node", none.alias("distance"), "bound"))
+    regions = open_groups(groups, roots, distances, reach)
+    C.discard(groups, bounds, done)
+    C.release(spark)
+    small = C.materialize(screened(regions.filter(F.col("held") <= BLOCK).withColumn("side", F.lit(HOME)), profiles, reach), "screened")
+    C.release(spark)
+    large = regions.filter(F.col("held") > BLOCK)
+    more = C.materialize(small.select("node").union(large.select("node")).distinct().join(sets.select("node").hint("merge"), "node", "left_anti"), "more")
+    tables = [sets]
     if more.limit(1).count():
-        roots = components(links.unionByName(more))
-    return labelled(nodes, roots)
+        tables.append(sets_of(docs, nodes, more, reach, few=True))
+        C.release(spark)
+        sets = sets.unionByName(tables[1])
+    if large.limit(1).count():
+        parts = divided(large, sets, reach, BLOCK).withColumn("distance", F.lit(None).cast("double"))
+        small = small.unionByName(C.materialize(screened(parts, profiles, reach), "screened"))
+    found = C.materialize(joined(small, sets, reach), "links")
+    C.discard(*tables)
+    C.release(spark)
+    if found.limit(1).count():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    return nodes, roots
+
+
+def grouped_stars(meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (grp, node, pivot, size) and (pivot, node) of groups of three or more, and of those and of two."""
+    degrees = meetings.filter("degree is not null").groupBy("node").agg(F.sum("degree").alias("degree"))
+    member = C.materialize(meetings.filter("grp is not null").select("grp", "node").distinct().join(degrees.hint("merge"), "node"), "degrees")
+    # the pivot of a group meets the most others: what copies were made from, if it is there
+    pivots = member.groupBy("grp").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("size"))
+    groups = C.materialize(C.join_group_facts(member.select("grp", "node"), pivots, "grp", "size", member.count()), "groups")
+    C.discard(member)
+    stars = groups.filter("node != pivot").select("pivot", "node").unionByName(meetings.filter("a is not null").select(F.col("a").alias("pivot"), "node")).distinct()
+    return groups, C.materialize(stars, "stars")
 
 
 def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    rooted = nodes.select("doc_id", "row", "rep", F.col("n").alias("n_shingles")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    rooted = C.materialize(rooted.select("doc_id", "row", "n_shingles", F.coalesce("root", "rep").alias("root")), "rooted")
+    rooted = nodes.select("doc_id", "row", "rep", F.col("n").alias("n_shingles")).join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
+    rooted = C.materialize(rooted.select("doc_id", "row", "n_shingles", F.coalesce("root", "rep").alias("root")), "labelled")
     facts = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held"))
     return C.join_group_facts(rooted, facts, "root", "held", rooted.count()).select("doc_id", "row", "n_shingles", "root", "component_id")
 
@@ -512,21 +673,24 @@ def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, reach: Reach | None = None) -> DataFrame:
     """A row of each component, with all columns: of its least doc_id (null only where all are null), and of several such rows the one with the least row_key().
     Rows that repeat doc_id and text are one component unless the text is empty; the first by a hash of all columns stays."""
-    found = C.materialize(rooted_components(docs, reach).select("doc_id", "row", "root", "component_id"), "components")
+    found = rooted_components(docs, reach)
+    total = found.count()
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     several = found.filter(least).groupBy("root").agg(F.min("row").alias("stays"), F.count("*").alias("rows")).filter("rows > 1")
-    tied = C.materialize(C.join_group_facts(found.filter(least), several, "root", "rows", found.count()).filter("rows > 1").select("doc_id", "row", "stays"), "tied")
-    gone = found.filter(~least).select("doc_id", "row").unionByName(tied.filter("row != stays").select("doc_id", "row")).distinct()
-    keyed = docs.withColumn("__row", row_key())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
-    named = lambda keys: keys.select(F.col("doc_id").alias("__id"), F.col("row").alias("__key"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = keyed.join(named(gone), same, "left_anti")
-    copies = tied.filter("row = stays").groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row")
+    tied = C.materialize(C.join_group_facts(found.filter(least), several, "root", "rows", total).filter("rows > 1").select("doc_id", "row", "stays"), "tied")
+    gone = C.materialize(found.filter(~least).select("doc_id", "row").unionByName(tied.filter("row != stays").select("doc_id", "row")).distinct(), "gone")
+    copies = C.materialize(tied.filter("row = stays").groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"), "copies")
+    C.discard(found, tied)
+    # whole rows are one column here, so that names can't clash
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), row_key().alias("row")).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("v"))
+    named = lambda keys: keys.select(F.struct(F.col("doc_id").alias("id"), "row").alias("k"))
+    same = lambda keys: keyed["k"].eqNullSafe(keys["k"])
+    none, twice = named(gone), named(copies)
+    kept = keyed.join(none, same(none), "left_anti")
     if not copies.limit(1).count():
-        return kept.select(*columns)
-    first = kept.join(named(copies), same, "left_semi").groupBy(F.col("doc_id").cast("long"), "__row").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__first"))
-    return kept.join(named(copies), same, "left_anti").select(*columns).unionByName(first.select("__first.*"))
+        return kept.select("v.*")
+    first = kept.join(twice, same(twice), "left_semi").groupBy("k").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    return kept.join(twice, same(twice), "left_anti").select("v.*").unionByName(first.select("v.*"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
