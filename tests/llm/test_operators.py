@@ -10,6 +10,7 @@ import helpers
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pixelloom.llm import exact_dedup, jaccard, licenses, mixing, packing, quality, substrings, syncmers, toxicity, warc
@@ -137,6 +138,13 @@ def test_expressions_by_truth_table():
 # archives
 
 
+def test_many_tags_in_linear_time(spark):
+    got = licenses.scan("SPDX-License-Identifier:\n" * 20000 + "SPDX-License-Identifier: ISC", licenses.automaton(), {"isc"}.__contains__)
+    assert got[5] == "isc" and got[8] is True
+    assert licenses.scan("SPDX-License-Identifier: (\n" * 20000, licenses.automaton(), {"isc"}.__contains__)[7] == ""
+    assert licenses.scan_licenses(helpers.empty(spark)).count() == 0
+
+
 def test_expressions_before_long_lines():
     for n in (60, 64, 66, 67, 5000):
         assert licenses.to_postfix("(MIT OR ISC) AND zlib " + "word " * n) == ["mit", "isc", "or", "zlib", "and"]
@@ -166,9 +174,74 @@ def test_warc(spark):
     C.remove_path(spark, path)
 
 
+def test_warc_odd(spark):
+    rows = [(1, "b", "x"), (1, "a", "x"), (1, "c", "x"), (None, "u", "y"), (None, "u", "y"), (2, None, "x" * 300000), (3, "u", None)]
+    pages = spark.createDataFrame([(*r, 9, "z") for r in rows], "page_id long, url string, html string, refers_to int, kind string")
+    path = C.fresh_path(spark, "warc")
+    warc.write_archives(pages, path)
+    got = [tuple(r) for r in warc.resolve_records(C.materialize(warc.read_archives(spark, path), "records")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()]
+    want = [(1, 1, "response", None), (1, 1, "revisit", 1), (1, 1, "revisit", 1), (None, 1, "response", None), (None, 1, "revisit", None), (2, 300000, "response", None), (3, 0, "response", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    empty = C.fresh_path(spark, "warc")
+    warc.write_archives(pages.limit(0), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+    C.remove_path(spark, path)
+
+
 # classifiers
 
 
+def test_statistics_and_rules_by_definition(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    blank = re.compile(r"[ \t-\r]+")
+
+    def numbers(t):
+        count = lambda p: len(re.findall(p, t))
+        words, lines, chars = blank.split(t), t.split("\n"), max(len(t), 1)
+        return {
+            "log_words": np.log1p(float(len(words))), "upper": count("[A-Z]+[A-Z]") / len(words), "upper_chars": count("[A-Z]") / chars, "symbols": count(r"[#$%&*+/<=>@\\^_`{|}~]") / chars,
+            "loud": count("[!?]") / chars, "digits": count("[0-9]") / chars, "stops": count("[.,;:]") / chars, "distinct_words": len(set(words)) / len(words),
+            "distinct_lines": len(set(lines)) / len(lines), "word_length": chars / len(words),
+        }
+
+    rows = {r.doc_id: r for r in docs.select("doc_id", model.column(C.text_of()).alias("score")).collect()}
+    for k, t in helpers.texts(docs).items():
+        x = numbers(t)
+        total = model.intercept + sum(w for rule, w in model.rules if all((x[name] > at) == above for name, above, at in rule.conditions))
+        assert rows[k].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_toxicity_by_definition(spark):
+    texts = ["Good words here", "bad words bad", "", "bad! BAD", "nothing"]
+    labels = [0, 1, 0, 1, 0]
+    df = spark.createDataFrame(list(zip(labels, texts, strict=True)), "label int, text string").repartition(3)
+    of = lambda t: [f for w in toxicity.tokens(t) for f in toxicity.features(w)]
+    want = defaultdict(int)
+    for y, t in zip(labels, texts, strict=True):
+        for f in set(of(t)):
+            want[y, f] += 1
+    assert {(r.label, bytes(r.feature)): r.n for r in toxicity.texts_with(df).collect()} == want
+    vocabulary = frozenset({b"bad ", b"word", b"here "})
+    counts = {bytes(r.feature): r.n for r in toxicity.counted(df.select("text"), vocabulary).collect()}
+    assert counts == {b"bad ": 4, b"word": 2, b"here ": 1, toxicity.WHOLE: 9}
+    seen = {(r.label, bytes(r.feature)): (r.times, r.contexts) for r in toxicity.occurrences(df, vocabulary).collect()}
+    assert seen[1, b"bad "] == (4, 4) and seen[0, b"word"] == (1, 1) and seen[1, toxicity.WHOLE][0] == 5
+    odds = toxicity.log_odds({b"bad ": toxicity.Seen([1, 60], [1, 80], [1, 70]), b"word": toxicity.Seen([30, 30], [40, 40], [40, 40])}, [100, 100], [1000, 1000], {b"bad ": 30, b"word": 90}, 5000)
+    y, z = 70 + 0.5 + 2000 * 30 / 5000, 1 + 0.5 + 2000 * 30 / 5000
+    share = 61 / 200
+    assert odds.keys() == {b"bad "}
+    assert odds[b"bad "][0] ** 2 == pytest.approx(2 * 60 * np.log(60 / (100 * share)) + 2 * np.log(1 / (100 * share)))
+    assert odds[b"bad "][1] == pytest.approx(np.log(y / (3000 - y)) - np.log(z / (3000 - z)))
+    clear = spark.createDataFrame([(60, 1), (30, 30), (3, 0), (1, 60)], "n long, m long").select(toxicity.clear(F.col("n"), F.col("m"), 100, 100).alias("x")).collect()
+    assert [r.x for r in clear] == [True, False, False, False]
+    model = toxicity.Model({b"bad ": (9.0, 2.0)}, 0.8, 0.01, -3.0, 1.5)
+    n, found = model.passages("fine bad bad fine fine fine bad", model.token_scores())
+    assert n == 7 and sorted(round(s, 6) for *_, s in found) == [5.7]
+    chance = 1 - np.exp(-0.01 * 7 * np.exp(-0.8 * 5.7))
+    assert model.score(model.evidence(n, [5.7])) == pytest.approx(1 / (1 + np.exp(3 + 1.5 * np.log(chance))))
+
+
 def test_quality_held_out(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
@@ -256,7 +329,47 @@ def test_collisions_fail():
     records = np.zeros(2, exact_dedup.RUN)
     records["bytes"] = [1, 2]
     with pytest.raises(ValueError, match="digest"):
-        exact_dedup.collapse(records, "max")
+        exact_dedup.merged(records[:1], records[1:], "max")
+
+
+def test_runs_merge_in_rounds(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    keyed = docs.repartition(20).selectExpr("doc_id", "unhex(sha2(text, 256)) digest", "cast(octet_length(text) as long) n_bytes", "xxhash64(text) check")
+    runs = exact_dedup.merge_rounds(exact_dedup.runs_of(keyed, 3, "max"), 20, "max")
+    assert runs._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == 5
+    rows = runs.collect()
+    assert len(rows) == len({r.bucket for r in rows}) <= 3
+    found = np.concatenate([np.frombuffer(r.records, exact_dedup.RUN) for r in rows])
+    groups = defaultdict(list)
+    for k, t in texts.items():
+        groups[hashlib.sha256(t.encode()).digest()].append(k)
+    assert {(bytes(r["digest"]).ljust(32, b"\0"), int(r["id"]), int(r["n"])) for r in found} == {(d, max(g), len(g)) for d, g in groups.items()}
+    for r in rows:
+        digests = np.frombuffer(r.records, exact_dedup.RUN)["digest"].tolist()
+        assert digests == sorted(digests)
+
+
+CLASHING = "doc_id long, text string, source string, __gone long, __digest string, __key int, k int, v string, __row int, n int, nth int, copies string"
+
+
+def test_columns_that_clash(spark):
+    rows = [(k, t, "s", 1, "a", 2, 3, "b", 4, 5, 6, "c") for k, t in [(1, "one two three four five six"), (2, "one two three four five six"), (3, "other"), (3, "other"), (None, None)]]
+    df = spark.createDataFrame(rows, CLASHING)
+    for f, n in ((exact_dedup.kept_documents, 3), (jaccard.one_of_each, 3), (mixing.mixed_documents, None)):
+        got = f(df).collect()
+        assert all(tuple(r)[3:] == rows[0][3:] for r in got) and f(df).columns == df.columns
+        assert n is None or len(got) == n
+    assert exact_dedup.exact_dedup(helpers.empty(spark)).count() == exact_dedup.kept_documents(helpers.empty(spark)).count() == 0
+
+
+def test_tables_are_deleted(spark, tmp_path):
+    df = helpers.odd(spark)
+    before = set(C.MADE)
+    for f in (exact_dedup.exact_dedup, mixing.mix, jaccard.rooted_components, substrings.remove_repeats):
+        table = f(df)
+        assert [x for x in C.MADE if x not in before] == [table.made_at]
+        C.discard(table)
+    assert set(C.MADE) == before
 
 
 # mixing
@@ -359,15 +472,43 @@ def near_copies(seed=3):
     return out
 
 
-@pytest.mark.parametrize("num,den,words", [(85, 100, 4), (80, 100, 5)])
-def test_jaccard_on_edited_copies(spark, num, den, words, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 7)  # so that regions are dealt as several blocks
+@pytest.mark.parametrize("num,den,words,block", [(85, 100, 4, 500), (80, 100, 5, 7)])
+def test_jaccard_on_edited_copies(spark, num, den, words, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = near_copies()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, jaccard.Reach(num, den, words)).collect()}
     assert got == linked(texts, words, num, den)
 
 
+@pytest.mark.parametrize("copies,blocks", [(100, 100), (0, 100), (0, 1)])
+def test_divided_regions_keep_all_links(spark, copies, blocks, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_COPIES", copies)  # voronoi regions; pairs of blocks; signatures
+    monkeypatch.setattr(jaccard, "MANY_BLOCKS", blocks)
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+    rng, reach, sets = np.random.default_rng(8), jaccard.Reach(), {}
+    for cluster in range(9):
+        base = rng.integers(0, 2**63, 40 + 10 * cluster).astype("u8")
+        for copy in range(10):
+            h = base.copy()
+            edits = int(rng.integers(0, 8))
+            h[rng.integers(0, len(h), edits)] = rng.integers(0, 2**63, edits).astype("u8")
+            sets[cluster * 10 + copy] = np.unique(h)
+    open_ = spark.createDataFrame([(7, k, k, len(sets)) for k in sets], "region long, node long, comp long, held long")
+    table = spark.createDataFrame([(k, bytearray(h.tobytes())) for k, h in sets.items()], "node long, set binary")
+    regions = defaultdict(dict)
+    for r in jaccard.divided(open_, table, reach, 30).collect():
+        regions[r.region][r.node] = r.side
+    met = set()
+    for members in regions.values():
+        for a, x in members.items():
+            met |= {(a, b) for b, y in members.items() if a < b and (jaccard.HOME in (x, y) or x + y == jaccard.LEFT + jaccard.RIGHT)}
+    both = lambda a, b: jaccard.common_size(sets[a], sets[b])
+    links = {(a, b) for a in sets for b in sets if a < b and reach.links(both(a, b), len(sets[a]) + len(sets[b]) - both(a, b))}
+    assert links and links <= met
+    assert copies or blocks > 1 or len(met) < 0.5 * len(sets) ** 2 / 2  # clusters are apart
+
+
 def test_jaccard_on_documents(docs, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs.repartition(9)).collect()}
     assert got == linked(texts)
@@ -445,6 +586,36 @@ def test_syncmers_by_definition():
     assert syncmers.likeness(empty, empty) == 1.0 and syncmers.likeness(empty, table) == 0.0
 
 
+def test_sketch_and_likeness_by_definition():
+    rng = np.random.default_rng(4)
+    tables = []
+    for _ in range(30):
+        n = int(rng.integers(1, 200))
+        hashes, at = rng.integers(0, 2**63, n).astype("u8") * np.uint64(2) + rng.integers(0, 2, n).astype("u8"), rng.integers(0, 5000, n)
+        best = {}
+        for h, p in sorted(zip(hashes.tolist(), at.tolist(), strict=True)):
+            best.setdefault(h >> 58, (h >> 20 & 0xFFFFFF, p // 16 % 65536))
+        table = syncmers.sketch(hashes, at)
+        assert [tuple(x) for x in table.tolist()] == [best.get(k, (-1, -1)) for k in range(64)]
+        assert syncmers.to_text(table) == "".join("%06x%04x" % best[k] if k in best else "-" * 10 for k in range(64))
+        tables.append(table)
+    tables += [np.where(rng.random((64, 1)) < 0.6, tables[0], tables[1]), tables[0] + np.where(tables[0] >= 0, [0, 100], [0, 0])]
+    for a in tables:
+        for b in tables:
+            some = [k for k in range(64) if a[k, 0] >= 0 or b[k, 0] >= 0]
+            same = [k for k in some if a[k, 0] == b[k, 0]]
+            shift = sorted((int(a[k, 1]) - int(b[k, 1]) + 32768) % 65536 for k in same)
+            want = sum(1 if abs(x - shift[len(shift) // 2]) <= 64 else 0.5 for x in shift) / len(some) if some else 1.0
+            assert syncmers.likeness(a, b) == pytest.approx(want)
+
+
+def test_places_among_bounds(spark):
+    bounds = [-5, 0, 3, 9, 10, 40, 41, 42, 50, 77, 90]
+    for n in (0, 1, 2, 3, 5, 11):
+        got = spark.range(-10, 100).select("id", syncmers.place_among(bounds[:n], F.col("id")).alias("at")).collect()
+        assert all(r["at"] == sum(b <= r["id"] for b in bounds[:n]) for r in got)
+
+
 def test_fingerprints_odd(spark):
     assert syncmers.fingerprint_neighbours(helpers.odd(spark)).count() == len(helpers.ROWS)
     assert syncmers.fingerprint_neighbours(helpers.empty(spark)).count() == 0

@@ -10,6 +10,18 @@ from pixelloom.llm import common as C
 from pixelloom.llm import mixing, quality
 
 
+def test_odd_and_empty_tables(spark, tmp_path):
+    for name, docs in (("odd", helpers.odd(spark)), ("empty", helpers.empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        helpers.labels(spark, [(1, 1, 0), (2, 1, 0), (3, 1, 0), (6, 1, 1)]).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if name == "empty":
+            assert not rows
+        else:  # all labels are 1, so all documents pass; copies are one, and the empty text has size 0
+            assert {r.doc_id for r in rows} == {2, 3, 5, 6}
+            assert sum(r.piece == 0 for r in rows if r.doc_id == 2) >= 2
+
+
 def test_stages(spark):
     d = "/root/testdata/sf0.01"
     docs = C.load(spark, d, "documents")
