@@ -1,6 +1,10 @@
 """From raw documents to packed sequences: quality, exact copies, near copies, mix, packing.
 
 Every stage reads what the one before it wrote. Near copies are those with Jaccard similarity of 0.8 or more over five-word shingles.
+
+Defined cases. Null text: the empty text, scored like any other, one copy of it stays, the mix takes it never (size 0). Null doc_id: a document like others, whose quality label
+is unknown. Rows that repeat doc_id and text: one stays. Rows that repeat only doc_id: decided each on its own. Very long texts: cut into pieces by the last stage only. Empty
+table: no rows. Other columns, whatever their names, stay as they are until the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -45,5 +49,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = common.sealed(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(docs, "made_at"):
+            common.discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
