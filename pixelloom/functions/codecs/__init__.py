@@ -47,9 +47,9 @@ def detect(data: bytes) -> str | None:
 
 
 def module(name: str):
-    from . import bmp, gif, jpeg, netpbm, png, qoi, tiff
+    from . import bmp, gif, jpeg, netpbm, png, qoi, svg, tiff, webp
 
-    return {"bmp": bmp, "gif": gif, "jpeg": jpeg, "netpbm": netpbm, "png": png, "qoi": qoi, "tiff": tiff}.get(name)
+    return {"bmp": bmp, "gif": gif, "jpeg": jpeg, "netpbm": netpbm, "png": png, "qoi": qoi, "svg": svg, "tiff": tiff, "webp": webp}.get(name)
 
 
 def decode(data: bytes, name: str | None = None, most: int = MOST_PIXELS) -> tuple[str, np.ndarray]:
@@ -62,6 +62,10 @@ def decode(data: bytes, name: str | None = None, most: int = MOST_PIXELS) -> tup
     codec = module(name)
     if codec is None:
         raise unsupported(f"decoding {name}")
+    if most < MOST_PIXELS:  # a lower bound than the formats' own is checked before pixels are made
+        from . import info
+
+        checked(*info.size_of(data, name), most)
     pixels = codec.decode(data)
     checked(pixels.shape[1], pixels.shape[0], most)
     return name, exif.oriented(pixels, exif.orientation_of(data))

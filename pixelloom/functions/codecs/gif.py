@@ -172,7 +172,8 @@ def median_cut(colors: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.nd
             break
         box = boxes[widest]
         box = box[np.lexsort((box, colors[box, int(spans[widest].argmax())]))]
-        boxes[widest : widest + 1] = [box[: len(box) // 2], box[len(box) // 2 :]]
+        boxes[widest] = box[: len(box) // 2]
+        boxes.append(box[len(box) // 2 :])
     index = np.empty(len(colors), np.int64)
     for k, box in enumerate(boxes):
         index[box] = k

@@ -122,6 +122,9 @@ def locate(data: bytes) -> bytes | None:
         at = 2
         while at + 4 <= len(data) and data[at] == 0xFF:
             kind, n = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            if kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD8:  # a fill byte, markers without a length
+                at += 1 if kind == 0xFF else 2
+                continue
             if kind == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
                 return data[at + 10 : at + 2 + n]
             if kind == 0xDA:

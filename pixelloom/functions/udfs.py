@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import INVALID_DATA, ImageError, unsupported
 from . import codecs, exif
+from .codecs import gif, info, svg
 
 ERROR = "error struct<code: string, reason: string>"
 ARRAYS = ", ".join(f"{c} array<int>" for c in "rgba")
@@ -30,19 +31,19 @@ def guarded(f, *args) -> tuple[object, dict | None]:
         return None, {"code": INVALID_DATA, "reason": str(e)[:200]}
 
 
-def encode_image(name: str, quality: int = 90) -> Column:
-    """struct<content, error> of the packed image in columns width, height, r, g, b, a."""
+def encode_image(name: str, quality: int = 90, metadata: str | Column | None = None) -> Column:
+    """struct<content, error> of the packed image in columns width, height, r, g, b, a; metadata: an EXIF block to put into formats that can hold one."""
 
     @F.pandas_udf(f"struct<content: binary, {ERROR}>")
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for width, height, *channels in parts:
+        for width, height, blocks, *channels in parts:
             rows = []
-            for w, h, *cells in zip(width, height, *channels, strict=True):
+            for w, h, block, *cells in zip(width, height, blocks, *channels, strict=True):
                 pixels = np.stack([np.asarray(c, np.uint8) for c in cells], axis=1).reshape(h, w, 4)
-                rows.append(guarded(codecs.encode, pixels, name, quality))
+                rows.append(guarded(codecs.encode, pixels, name, quality, bytes(block) if block is not None else None))
             yield pd.DataFrame({"content": [v for v, _ in rows], "error": [e for _, e in rows]})
 
-    return run("width", "height", "r", "g", "b", "a")
+    return run("width", "height", F.lit(None).cast("binary") if metadata is None else metadata, "r", "g", "b", "a")
 
 
 def decode_image(content: str | Column, name: str | None = None, most: int = codecs.MOST_PIXELS) -> Column:
@@ -102,7 +103,7 @@ def detect_format(content: Column) -> Column:
         ("bmp", at(0, 2) == "424D"),
         ("qoi", at(0, 4) == "716F6966"),
         ("netpbm", at(0, 2).isin("5035", "5036")),
-        ("svg", F.instr(F.hex(F.substring(content, 1, 1024)), "3C737667") % 2 == 1),
+        ("svg", F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "<svg") > 0),
     ]
     found = F.lit(None).cast("string")
     for name, test in reversed(tests):
@@ -110,6 +111,71 @@ def detect_format(content: Column) -> Column:
     return found
 
 
+def rasterize_svg(content: str | Column, width: int | None = None, height: int | None = None, most: int = codecs.MOST_PIXELS) -> Column:
+    """struct<format, width, height, r, g, b, a, error> of SVG documents at a size of one's own; one side alone keeps the aspect."""
+
+    @F.pandas_udf(DECODED)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for data in parts:
+            rows = []
+            for d in data:
+                pixels, error = guarded(svg.rasterize, bytes(d or b""), width, height, min(most, ROW_PIXELS))
+                cells = [pixels[..., k].reshape(-1).astype(np.int32) if error is None else None for k in range(4)]
+                rows.append(("svg", *((pixels.shape[1], pixels.shape[0]) if error is None else (None, None)), *cells, error))
+            yield pd.DataFrame(rows, columns=["format", "width", "height", *"rgba", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return run(content)
+
+
+ELEMENT = "struct<even_odd: boolean, r: int, g: int, b: int, a: int, opacity: double, subpaths: array<struct<points: array<struct<x: double, y: double>>, is_closed: boolean>>>"
+
+
+def svg_elements(content: str | Column, precision: float = 4.0) -> Column:
+    """struct<width, height, elements, error> of SVG documents: filled outlines in painting order; posexplode gives a row an element."""
+
+    @F.pandas_udf(f"struct<width: double, height: double, elements: array<{ELEMENT}>, {ERROR}>")
+    def run(data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d in data:
+            value, error = guarded(svg.elements, bytes(d or b""), precision)
+            rows.append((*(value or (None, None, None)), error))
+        return pd.DataFrame(rows, columns=["width", "height", "elements", "error"])
+
+    return run(content)
+
+
+def image_info(content: str | Column) -> Column:
+    """struct of format and size from headers, and for HEIF containers item type, turns, mirror, grid, tiles and alpha item; no pixels are decoded."""
+    whole = ("width", "height", "turns", "mirror", "columns", "rows")
+
+    @F.pandas_udf(f"struct<format: string, {', '.join(f'{k}: int' for k in whole)}, item_type: string, alpha: long, tiles: array<long>, {ERROR}>")
+    def run(data: pd.Series) -> pd.DataFrame:
+        names, rows = ["format", *whole, "item_type", "alpha", "tiles"], []
+        for d in data:
+            value, error = guarded(info.describe, bytes(d or b""))
+            rows.append([*((value or {}).get(k) for k in names), error])
+        return pd.DataFrame(rows, columns=[*names, "error"]).astype(dict.fromkeys(whole, "Int32") | {"alpha": "Int64"})
+
+    return run(content)
+
+
+def median_cut(colors: int) -> Column:
+    """array<struct<r, g, b>> of at most `colors` colours for the packed image in columns r, g, b, a, from its pixels that are at least half opaque."""
+
+    @F.pandas_udf("array<struct<r: int, g: int, b: int>>")
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for channels in parts:
+            out = []
+            for cells in zip(*channels, strict=True):
+                p = np.stack([np.asarray(c, np.uint8) for c in cells], axis=1)
+                distinct, counts = np.unique(p[p[:, 3] >= 128][:, :3], axis=0, return_counts=True)
+                found = gif.median_cut(distinct, counts, colors)[0] if len(distinct) > colors else distinct
+                out.append([dict(zip("rgb", map(int, c), strict=True)) for c in found])
+            yield pd.Series(out)
+
+    return run(*"rgba")
+
+
 def compress(content: str | Column) -> Column:
     @F.pandas_udf("binary")
     def run(data: pd.Series) -> pd.Series:

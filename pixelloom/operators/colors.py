@@ -85,7 +85,14 @@ def filter_choice(images: DataFrame) -> DataFrame:
 
 
 def channel_error(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Largest difference of any channel, for each image."""
-    other = right.select("image_id", "y", "x", *[F.col(c).alias(f"{c}2") for c in "rgba"])
-    worst = F.greatest(*[F.abs(F.col(c) - F.col(f"{c}2")) for c in "rgba"])
-    return left.join(other, ["image_id", "y", "x"]).groupBy("image_id").agg(F.max(worst).cast("int").alias("error"))
+    """Largest difference of any channel of packed images of the same id and size."""
+    other = right.select("image_id", *[F.col(c).alias(f"{c}2") for c in "rgba"])
+    worst = F.greatest(*[F.array_max(F.zip_with(c, f"{c}2", lambda x, y: F.abs(x - y))) for c in "rgba"])
+    return left.join(other, "image_id").select("image_id", worst.cast("int").alias("error"))
+
+
+def merge_alpha(images: DataFrame, alphas: DataFrame) -> DataFrame:
+    """Packed images whose alpha is the red of the alpha image of their id, if there is one of equal size."""
+    other = alphas.select("image_id", F.col("width").alias("aw"), F.col("height").alias("ah"), F.col("r").alias("alpha"))
+    fits = (F.col("aw") == F.col("width")) & (F.col("ah") == F.col("height"))
+    return images.join(other, "image_id", "left").withColumn("a", F.when(fits, F.col("alpha")).otherwise(F.col("a"))).drop("aw", "ah", "alpha")

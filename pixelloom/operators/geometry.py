@@ -55,6 +55,28 @@ def orient(pixels: DataFrame, orientation: int) -> DataFrame:
     return mirror(turned, axis) if axis else turned
 
 
+def heif_orient(pixels: DataFrame, quarter_turns: int, axis: int | None) -> DataFrame:
+    """Turns against the clock, then a mirror: 0 swaps left and right, 1 top and bottom."""
+    turned = rotate(pixels, -90 * quarter_turns)
+    return turned if axis is None else mirror(turned, "vertical" if axis else "horizontal")
+
+
+def clean_aperture(pixels: DataFrame, width: tuple[Column, int], height: tuple[Column, int], right: tuple[int, int], down: tuple[int, int]) -> DataFrame:
+    """The middle part of each image, of width and height as fractions (numerator, denominator), moved right and down by fractions and kept inside; all of an image that isn't larger than it."""
+    W, H, _, _ = here()
+    w, h = (F.floor(n / d).cast("int") for n, d in (width, height))
+    fits = (w > 0) & (h > 0) & (w <= W) & (h <= H)
+    w, h = F.when(fits, w).otherwise(W), F.when(fits, h).otherwise(H)
+
+    def start(free: Column, shift: tuple[int, int]) -> Column:
+        n, d = shift[0], max(shift[1], 1)
+        doubled = (free * d + 2 * n) / (2 * d)
+        at = F.greatest(F.lit(0), F.least(free, F.when(doubled < 0, F.ceil(doubled)).otherwise(F.floor(doubled)).cast("int")))
+        return F.when(fits, at).otherwise(0)
+
+    return crop(pixels, start(W - w, right), start(H - h, down), w, h)
+
+
 def crop(pixels: DataFrame, x: Column | int, y: Column | int, width: Column | int, height: Column | int) -> DataFrame:
     """The region's pixels; images that don't hold the whole region have no rows (crop_errors says why)."""
     W, H, X, Y = here()
@@ -124,17 +146,39 @@ def resize_bilinear(images: DataFrame, width: int, height: int) -> DataFrame:
     return resized(images, width, height, value, {"x0": x0, "x1": x1, "fx": fx, "y0": y0, "y1": y1, "fy": fy})
 
 
-def grid_stitch(pixels: DataFrame, columns: int, rows: int) -> DataFrame:
-    """Groups of columns * rows images of one size, by image_id, as one image each: tiles are placed row by row, all in one projection."""
+def grid_stitch(pixels: DataFrame, columns: int, rows: int, width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """Groups of columns * rows images of one size, by image_id, as one image each: tiles are placed row by row, all in one projection, and cropped to the output size if one is given."""
     W, H, X, Y = here()
     tiles = columns * rows
     grid, tile = F.floor(F.col("image_id") / tiles), F.col("image_id") % tiles
-    return pixels.select(
-        grid.cast("long").alias("image_id"), (W * columns).cast("int").alias("width"), (H * rows).cast("int").alias("height"),
-        (Y + F.floor(tile / columns) * H).cast("int").alias("y"), (X + (tile % columns) * W).cast("int").alias("x"), *CHANNELS,
-    )
+    out_w, out_h = W * columns if width is None else width, H * rows if height is None else height
+    y, x = Y + F.floor(tile / columns) * H, X + (tile % columns) * W
+    return pixels.filter((x < out_w) & (y < out_h)).select(grid.cast("long").alias("image_id"), out_w.cast("int").alias("width"), out_h.cast("int").alias("height"), y.cast("int").alias("y"), x.cast("int").alias("x"), *CHANNELS)
+
+
+def probe(images: DataFrame, points: DataFrame) -> DataFrame:
+    """points (image_id, x, y) with the pixel there, or nulls outside; read from the packed arrays."""
+    X, Y = F.col("x"), F.col("y")
+    inside = (X >= 0) & (Y >= 0) & (X < F.col("width")) & (Y < F.col("height"))
+    return images.join(points, "image_id").select("image_id", "x", "y", *[F.when(inside, F.get(c, Y * F.col("width") + X)).alias(c) for c in CHANNELS])
+
+
+def write_point(images: DataFrame, x: Column, y: Column, color: tuple[int, int, int, int]) -> DataFrame:
+    """Packed images with one pixel of a new colour; images that the point is outside of have no row."""
+    at = (y * F.col("width") + x).cast("int")
+    inside = images.filter((x >= 0) & (y >= 0) & (x < F.col("width")) & (y < F.col("height")))
+
+    def changed(channel: str, new: int) -> Column:
+        return F.transform(channel, lambda v, i: F.when(i == at, F.lit(new)).otherwise(v))
+
+    return inside.withColumns({c: changed(c, new) for c, new in zip(CHANNELS, color, strict=True)})
 
 
-def probe(pixels: DataFrame, points: DataFrame) -> DataFrame:
-    """points (image_id, x, y) with the pixel there, or nulls outside."""
-    return points.join(pixels.select("image_id", "x", "y", *CHANNELS), ["image_id", "x", "y"], "left")
+def has_edits(images: DataFrame, originals: DataFrame) -> DataFrame:
+    """image_id and whether the packed image differs from the original of its id."""
+    parts = ("width", "height", *CHANNELS)
+    joined = images.join(originals.select("image_id", *[F.col(c).alias(f"was_{c}") for c in parts]), "image_id")
+    same = F.lit(True)
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"was_{c}"))
+    return joined.select("image_id", (~same).alias("edited"))

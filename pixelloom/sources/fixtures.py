@@ -32,10 +32,10 @@ def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(k.alias("image_id"), (3 + s % 6).cast("int").alias("width"), (2 + s % 4).cast("int").alias("height"), k, s)
     band = lambda flat, value: lambda x, y: F.when(x < 2, flat).otherwise(value(x, y))
     formulas = {
-        "r": band(200, lambda x, y: (k * 31 + 7 * x + 3 * y) % 256),
-        "g": band(50, lambda x, y: (k * 11 + x + y) % 256),
-        "b": band(25, lambda x, y: (x * y + s) % 256),
-        "a": band(255, lambda x, y: 255 - (x * y + k) % 128),
+        "r": band(90, lambda x, y: (k * 31 + 7 * x + 3 * y) % 256),
+        "g": band(160, lambda x, y: (k * 11 + x + y) % 256),
+        "b": band(35, lambda x, y: (x * y + s) % 256),
+        "a": band(255, lambda x, y: 255 - (5 * x * y + 3 * k) % 160),
     }
     return packed(rows, formulas)
 
@@ -65,10 +65,10 @@ PART_PIXELS = """
 part_images AS (SELECT p_partkey AS image_id, 3 + p_size % 6 AS width, 2 + p_size % 4 AS height, p_partkey AS k, p_size AS s FROM part),
 part_places AS (SELECT *, unnest(range(0, width * height)) AS i FROM part_images),
 px AS (SELECT image_id, width, height, CAST(i // width AS INTEGER) AS y, CAST(i % width AS INTEGER) AS x,
-  CAST(CASE WHEN i % width < 2 THEN 200 ELSE (k * 31 + 7 * (i % width) + 3 * (i // width)) % 256 END AS INTEGER) AS r,
-  CAST(CASE WHEN i % width < 2 THEN 50 ELSE (k * 11 + (i % width) + (i // width)) % 256 END AS INTEGER) AS g,
-  CAST(CASE WHEN i % width < 2 THEN 25 ELSE ((i % width) * (i // width) + s) % 256 END AS INTEGER) AS b,
-  CAST(CASE WHEN i % width < 2 THEN 255 ELSE 255 - ((i % width) * (i // width) + k) % 128 END AS INTEGER) AS a
+  CAST(CASE WHEN i % width < 2 THEN 90 ELSE (k * 31 + 7 * (i % width) + 3 * (i // width)) % 256 END AS INTEGER) AS r,
+  CAST(CASE WHEN i % width < 2 THEN 160 ELSE (k * 11 + (i % width) + (i // width)) % 256 END AS INTEGER) AS g,
+  CAST(CASE WHEN i % width < 2 THEN 35 ELSE ((i % width) * (i // width) + s) % 256 END AS INTEGER) AS b,
+  CAST(CASE WHEN i % width < 2 THEN 255 ELSE 255 - (5 * (i % width) * (i // width) + 3 * k) % 160 END AS INTEGER) AS a
   FROM part_places)"""
 VECTOR_PIXELS = """
 vec_places AS (SELECT vec_id AS image_id, unnest(range(0, 64)) AS i, embedding FROM embeddings),

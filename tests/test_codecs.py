@@ -13,18 +13,18 @@ from pixelloom.functions import codecs, exif
 from pixelloom.functions.codecs import gif, png, tiff
 
 SIZES = [(23, 11), (1, 1), (5, 3), (17, 13), (64, 48)]
-LOSSLESS = ("qoi", "png", "tiff")
+LOSSLESS = ("qoi", "png", "tiff", "webp")
 
 
 def picture(width: int, height: int) -> np.ndarray:
     y, x = np.mgrid[:height, :width]
-    p = np.dstack([11 * x % 256, 23 * y % 256, 7 * (x + y) % 256, 255 - x * y % 128]).astype(np.uint8)
-    p[:, :5] = (200, 50, 25, 255)
+    p = np.dstack([(17 * x + 3 * y) % 256, (x ^ y) * 9 % 256, (x * x + 31 * y) % 256, 255 - (13 * x + y * y) % 200]).astype(np.uint8)
+    p[y % 4 == 1] = (12, 140, 220, 255)
     return p
 
 
 @pytest.mark.parametrize("size", SIZES)
-@pytest.mark.parametrize("name", ["qoi", "png", "tiff", "bmp", "netpbm"])
+@pytest.mark.parametrize("name", ["qoi", "png", "tiff", "webp", "bmp", "netpbm"])
 def test_roundtrip(name, size):
     p = picture(*size)
     data = codecs.encode(p, name)
@@ -142,17 +142,17 @@ def test_unknown_and_unsupported():
 
 
 def sample_exif() -> exif.Exif:
-    return exif.Exif({271: (2, "Maker"), 272: (2, "M1"), 274: (3, [6])}, {33437: (5, [(28, 10)]), 34855: (3, [400])}, {1: (2, "N"), 2: (5, [(47, 1), (22, 1), (30, 1)]), 3: (2, "W"), 4: (5, [(8, 1), (33, 1), (0, 1)])})
+    return exif.Exif({271: (2, "Loom Works"), 272: (2, "LW-7"), 274: (3, [6])}, {33437: (5, [(56, 10)]), 34855: (3, [250])}, {1: (2, "S"), 2: (5, [(12, 1), (34, 1), (30, 1)]), 3: (2, "E"), 4: (5, [(98, 1), (45, 1), (0, 1)])})
 
 
 def test_exif_roundtrip_and_places():
     block = exif.serialize(sample_exif())
     back = exif.parse(block)
     assert back.tags[274] == (3, [1]) and back.photo == sample_exif().photo and back.gps == sample_exif().gps
-    assert exif.degrees(back.gps[2], back.gps[1]) == 47.375
-    assert exif.degrees(back.gps[4], back.gps[3]) == pytest.approx(-8.55)
+    assert exif.degrees(back.gps[2], back.gps[1]) == pytest.approx(-12.575)
+    assert exif.degrees(back.gps[4], back.gps[3]) == 98.75
     assert exif.degrees((5, [(1, 0), (0, 1), (0, 1)]), None) is None
-    for name in ("png", "jpeg"):
+    for name in ("png", "jpeg", "webp"):
         assert exif.read(codecs.encode(picture(9, 8), name, metadata=block)).photo == sample_exif().photo
 
 
