@@ -187,7 +187,7 @@ def detect_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", udfs.detect_format(F.col("html").cast("binary")).alias("format"))
 
 
-@query("detect_encoded", "SELECT p_partkey AS image_id, unnest(['png', 'jpeg', 'gif', 'tiff', 'bmp', 'qoi', 'netpbm']) AS name, unnest(['png', 'jpeg', 'gif', 'tiff', 'bmp', 'qoi', 'netpbm']) AS format FROM part WHERE p_partkey < 50")
+@query("detect_encoded", "SELECT p_partkey AS image_id, unnest(['png', 'jpeg', 'gif', 'tiff', 'bmp', 'qoi', 'netpbm']) AS name, unnest(['png', 'jpeg', 'gif', 'tiff', 'bmp', 'qoi', 'netpbm']) AS format FROM part")
 def detect_encoded(spark: SparkSession, d: str) -> DataFrame:
     images = part_images(spark, d)
     contents = images.select("image_id", *[udfs.encode_image(n).getField("content").alias(n) for n in ("png", "jpeg", "gif", "tiff", "bmp", "qoi", "netpbm")])
