@@ -47,9 +47,9 @@ def detect(data: bytes) -> str | None:
 
 
 def module(name: str):
-    from . import bmp, gif, jpeg, netpbm, png, qoi, svg, tiff, webp
+    from . import bmp, gif, heic, jpeg, netpbm, png, qoi, svg, tiff, webp
 
-    return {"bmp": bmp, "gif": gif, "jpeg": jpeg, "netpbm": netpbm, "png": png, "qoi": qoi, "svg": svg, "tiff": tiff, "webp": webp}.get(name)
+    return {"bmp": bmp, "gif": gif, "heic": heic, "jpeg": jpeg, "netpbm": netpbm, "png": png, "qoi": qoi, "svg": svg, "tiff": tiff, "webp": webp}.get(name)
 
 
 def decode(data: bytes, name: str | None = None, most: int = MOST_PIXELS) -> tuple[str, np.ndarray]:

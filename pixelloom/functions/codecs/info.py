@@ -6,7 +6,7 @@ import re
 import struct
 
 from ...errors import UNKNOWN_FORMAT, ImageError, invalid
-from . import checked, detect, heif, svg, webp
+from . import checked, detect, heic, heif, svg, webp
 
 
 def jpeg_size(data: bytes) -> tuple[int, int]:
@@ -73,6 +73,8 @@ def header_size(data: bytes, name: str) -> tuple[int, int]:
         return struct.unpack("<HH", data[6:10])
     if name == "qoi":
         return struct.unpack(">II", data[4:12])
+    if name == "heic":
+        return heic.size_of(data)
     if name == "svg":
         return svg.pixel_size(svg.root_of(data))
     return {"jpeg": jpeg_size, "tiff": tiff_size, "webp": webp_size, "netpbm": netpbm_size}[name](data)
