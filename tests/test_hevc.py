@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from pixelloom.errors import ImageError
-from pixelloom.functions import codecs
+from pixelloom.functions import codecs, udfs
 from pixelloom.functions.codecs import heic, hevc, info
 from pixelloom.functions.codecs import hevc_samples as samples
 
@@ -443,3 +443,14 @@ def test_refusals():
         codecs.encode(np.zeros((2, 2, 4), np.uint8), "heic")
     assert hevc.units(b"\0\0\0\2ab\0\0\0\3cde", 4) == [b"ab", b"cde"]
     assert hevc.unescaped(b"\0\0\3\0\0\3\1\0\0\3") == b"\0\0\0\0\1\0\0"
+
+
+def test_rows(spark):
+    units, planes = attempt(9, 24, 16)
+    data = heic_file([units])
+    files = spark.createDataFrame([(1, data), (2, data[:-40]), (3, data.replace(b"hvc1", b"av01"))], "k int, content binary")
+    found = {r.k: r for r in udfs.decoded(files).collect()}
+    expected = heic.to_rgb(planes, (0, 0, 24, 16), 6, False)
+    assert (found[1].format, found[1].width, found[1].height, found[1].error) == ("heic", 24, 16, None)
+    assert found[1].r == expected[..., 0].ravel().tolist() and found[1].b == expected[..., 2].ravel().tolist() and set(found[1].a) == {255}
+    assert found[2].error.code == "invalidData" and found[3].error.code == "unsupportedFeature"
