@@ -175,9 +175,9 @@ def write_point(images: DataFrame, x: Column, y: Column, color: tuple[int, int,
 
 
 def has_edits(images: DataFrame, originals: DataFrame) -> DataFrame:
-    """image_id and whether the packed image differs from the original of its id."""
+    """image_id and whether the packed image differs from the original of its id. Both sides are sorted, as Spark takes packed images for smaller than they are and would broadcast them."""
     parts = ("width", "height", *CHANNELS)
-    joined = images.join(originals.select("image_id", *[F.col(c).alias(f"was_{c}") for c in parts]), "image_id")
+    joined = images.join(originals.select("image_id", *[F.col(c).alias(f"was_{c}") for c in parts]).hint("merge"), "image_id")
     same = F.lit(True)
     for c in parts:
         same = same & F.col(c).eqNullSafe(F.col(f"was_{c}"))

@@ -29,19 +29,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def on_pixels(name: str, f, sql: str) -> None:
-    query(name, f"WITH {PART_PIXELS} {sql}")(lambda spark, d: f(exploded(part_images(spark, d))))
+def on_pixels(name: str, f, sql: str, dealt: bool = False) -> None:
+    query(name, f"WITH {PART_PIXELS} {sql}")(lambda spark, d: f(exploded(part_images(spark, d, dealt))))
 
 
-def on_images(name: str, f, sql: str | None) -> None:
-    query(name, sql and f"WITH {PART_PIXELS} {sql}")(lambda spark, d: f(part_images(spark, d)))
+def on_images(name: str, f, sql: str | None, dealt: bool = False) -> None:
+    query(name, sql and f"WITH {PART_PIXELS} {sql}")(lambda spark, d: f(part_images(spark, d, dealt)))
 
 
 SIZED = "image_id, {} AS width, {} AS height, CAST({} AS INTEGER) AS y, CAST({} AS INTEGER) AS x, r, g, b, a"
 on_pixels("synth_pixels", lambda p: p, "SELECT * FROM px")
 on_pixels("assemble", lambda p: exploded(assembled(p)), "SELECT * FROM px")
 on_images("write_point", lambda i: exploded(geometry.write_point(i, F.lit(3), F.lit(2), (9, 8, 7, 6))), "SELECT * REPLACE (CASE WHEN x = 3 AND y = 2 THEN 9 ELSE r END AS r, CASE WHEN x = 3 AND y = 2 THEN 8 ELSE g END AS g, CASE WHEN x = 3 AND y = 2 THEN 7 ELSE b END AS b, CASE WHEN x = 3 AND y = 2 THEN 6 ELSE a END AS a) FROM px WHERE width > 3 AND height > 2")
-on_images("has_edits", lambda i: geometry.has_edits(geometry.write_point(i, F.lit(0), F.lit(0), (90, 160, 35, 255)).unionByName(geometry.write_point(i, F.lit(4), F.lit(0), (1, 1, 1, 1))), i), "SELECT image_id, unnest(CASE WHEN width > 4 THEN [false, true] ELSE [false] END) AS edited FROM part_images")
+on_images("has_edits", lambda i: geometry.has_edits(geometry.write_point(i, F.lit(0), F.lit(0), (90, 160, 35, 255)).unionByName(geometry.write_point(i, F.lit(4), F.lit(0), (1, 1, 1, 1))), i), "SELECT image_id, unnest(CASE WHEN width > 4 THEN [false, true] ELSE [false] END) AS edited FROM part_images", dealt=True)
 on_images("fill", lambda i: geometry.fill(i, (1, 2, 3, 4)), "SELECT image_id, width, height, y, x, 1 AS r, 2 AS g, 3 AS b, 4 AS a FROM px")
 TURNED = {90: ("height", "width", "x", "height - 1 - y"), 180: ("width", "height", "height - 1 - y", "width - 1 - x"), 270: ("height", "width", "width - 1 - x", "y")}
 for turn, way in TURNED.items():

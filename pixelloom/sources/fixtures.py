@@ -25,10 +25,12 @@ def packed(images: DataFrame, formulas: dict[str, object]) -> DataFrame:
     return images.select("image_id", "width", "height", *[channel(formulas[c]).alias(c) for c in CHANNELS])
 
 
-def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small image with a flat band and varied alpha for each part."""
+def part_images(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """One small image with a flat band and varied alpha for each part. dealt: keys are shuffled by image_id before the arrays are made, so that images of one small file
+    spread over all tasks and what joins or groups them by image_id later needs no shuffle of arrays."""
     k, s = F.col("key"), F.col("size")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key") if dealt else rows
     rows = rows.select(k.alias("image_id"), (3 + s % 6).cast("int").alias("width"), (2 + s % 4).cast("int").alias("height"), k, s)
     band = lambda flat, value: lambda x, y: F.when(x < 2, flat).otherwise(value(x, y))
     formulas = {

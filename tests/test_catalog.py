@@ -55,3 +55,13 @@ def test_no_shuffle_for_pixel_projections(spark, sf_dir):
     for name in ("rotate_90", "mirror_h", "crop", "orient_all8", "resize_bilinear", "resize_nearest", "png_filter_choice", "grid_stitch"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["has_edits"])
+def test_no_broadcast_or_shuffle_of_packed_images(spark, sf_dir, name):
+    """Packed images are larger than Spark takes them for: only keys are shuffled, and nothing is broadcast through the driver."""
+    found = QUERIES[name](spark, sf_dir)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange " in line)
