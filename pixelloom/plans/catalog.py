@@ -149,7 +149,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 def roundtrip(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        back = udfs.decoded(files.encoded(part_images(spark, d), name).select("image_id", "content"))
+        back = udfs.decoded(files.encoded(part_images(spark, d, dealt=True), name).select("image_id", "content"))
         return exploded(back).select("image_id", "width", "height", "y", "x", "r", "g", "b", "a")
 
     return run

@@ -65,3 +65,7 @@ def test_no_broadcast_or_shuffle_of_packed_images(spark, sf_dir, name):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange " in line)
+
+
+def test_images_of_one_file_are_coded_in_many_tasks(spark, sf_dir):
+    assert QUERIES["roundtrip_webp"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -197,3 +197,39 @@ def test_errors():
         codecs.decode(twice.file(), "webp")
     with pytest.raises(ImageError, match="complete"):
         webp.Prefix([1, 2, 0])
+
+
+def test_equal_codes_are_made_once(monkeypatch):
+    p = np.random.default_rng(8).integers(0, 256, (5, 7, 4)).astype(np.uint8)
+    assert (codecs.decode(codecs.encode(p, "webp"))[1] == p).all()
+    made = []
+    monkeypatch.setattr(webp, "Prefix", lambda lengths, real=webp.Prefix: made.append(lengths) or real(lengths))
+    assert (codecs.decode(codecs.encode(p[::-1], "webp"))[1] == p[::-1]).all()
+    assert not made
+    for n in range(2 * webp.MOST_KNOWN):  # others are made, and not all are kept
+        w = Writer()
+        w.lengths([3] * 4 + [4] * 8 + [0] * n)
+        assert webp.read_prefix(webp.Bits(np.packbits(w.bits, bitorder="little").tobytes()), 12 + n).bits == 4
+    assert len(made) >= 2 * webp.MOST_KNOWN and len(webp.KNOWN) <= webp.MOST_KNOWN
+
+
+@pytest.mark.parametrize("size", [(1, 1), (9, 13)])
+def test_codes_of_one_length_each(monkeypatch, size):
+    """Greens of 3 bits, one red, blues of 1 bit and alphas of 8; cut in small parts and cut off."""
+    monkeypatch.setattr(webp, "CUT", 10)
+    rng = np.random.default_rng(9)
+    want = np.stack([rng.integers(0, 256, size), np.full(size, 77), 40 + rng.integers(0, 8, size), rng.choice([3, 200], size)], axis=-1)
+    w = header(size[1], size[0])
+    w.put(0, 3)
+    w.lengths([3 if 40 <= k < 48 else 0 for k in range(256 + 24)])
+    w.put(0b101, 3)
+    w.put(77, 8)
+    w.lengths([int(k in (3, 200)) for k in range(256)])
+    w.lengths([8] * 256)
+    w.put(0b0001, 4)
+    for a, _, g, b in want.reshape(-1, 4).tolist():
+        w.code(g - 40, 3), w.code(int(b == 200), 1), w.code(a, 8)
+    assert (argb(w.file()) == want).all()
+    w.bits = w.bits[:-8]
+    with pytest.raises(ImageError):
+        argb(w.file())
