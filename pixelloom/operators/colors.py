@@ -85,8 +85,8 @@ def filter_choice(images: DataFrame) -> DataFrame:
 
 
 def channel_error(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Largest difference of any channel of packed images of the same id and size."""
-    other = right.select("image_id", *[F.col(c).alias(f"{c}2") for c in "rgba"])
+    """Largest difference of any channel of packed images of the same id and size. Both sides are sorted, as Spark takes packed images for smaller than they are and would broadcast them."""
+    other = right.select("image_id", *[F.col(c).alias(f"{c}2") for c in "rgba"]).hint("merge")
     worst = F.greatest(*[F.array_max(F.zip_with(c, f"{c}2", lambda x, y: F.abs(x - y))) for c in "rgba"])
     return left.join(other, "image_id").select("image_id", worst.cast("int").alias("error"))
 

@@ -178,7 +178,7 @@ def jpeg_error_bound(spark: SparkSession, d: str) -> DataFrame:
 @query("max_channel_error", f"WITH {PART_PIXELS} SELECT image_id, CAST(max(255 - a) AS INTEGER) AS error FROM px GROUP BY 1")
 def max_channel_error(spark: SparkSession, d: str) -> DataFrame:
     """Largest difference of images and what a format without alpha gives back, from the packed arrays."""
-    images = part_images(spark, d)
+    images = part_images(spark, d, dealt=True)
     return colors.channel_error(images, udfs.decoded(files.encoded(images, "bmp").select("image_id", "content")))
 
 

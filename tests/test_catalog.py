@@ -69,3 +69,10 @@ def test_no_broadcast_or_shuffle_of_packed_images(spark, sf_dir, name):
 
 def test_images_of_one_file_are_coded_in_many_tasks(spark, sf_dir):
     assert QUERIES["roundtrip_webp"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["max_channel_error"])
+def test_no_broadcast_of_decoded_images(spark, sf_dir, name):
+    found = QUERIES[name](spark, sf_dir)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
