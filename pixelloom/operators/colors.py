@@ -28,6 +28,13 @@ def palette(pixels: DataFrame) -> DataFrame:
     return histogram(pixels).select("image_id", "r", "g", "b", rank.cast("int").alias("idx"))
 
 
+def indexed(pixels: DataFrame) -> DataFrame:
+    """Index of each pixel's colour in the image's palette, for pixels that are at least half opaque: colours are numbered where the image's pixels are sorted, without a join.
+    Pixels without an image_id or a colour have no row."""
+    rank = F.dense_rank().over(Window.partitionBy("image_id").orderBy("r", "g", "b")) - 1
+    return pixels.filter("a >= 128").withColumn("idx", rank.cast("int")).dropna(subset=["image_id", "r", "g", "b"]).select("image_id", "y", "x", "idx")
+
+
 def alpha_flags(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.bool_and(F.col("a") == 0).alias("all_clear"), F.bool_or(F.col("a") < 128).alias("any_clear"), F.bool_and(F.col("a") == 255).alias("opaque"))
 

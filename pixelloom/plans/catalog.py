@@ -104,7 +104,7 @@ def pixel_probe(spark: SparkSession, d: str) -> DataFrame:
 on_pixels("color_histogram", colors.histogram, "SELECT image_id, r, g, b, count(*) AS n FROM px WHERE a >= 128 GROUP BY ALL")
 PALETTE = ", pal AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY r, g, b) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT image_id, r, g, b FROM px WHERE a >= 128))"
 on_pixels("palette_rank", colors.palette, f"{PALETTE} SELECT * FROM pal")
-on_pixels("palette_join", lambda p: p.filter("a >= 128").join(colors.palette(p), ["image_id", "r", "g", "b"]).select("image_id", "y", "x", "idx"), f"{PALETTE} SELECT image_id, y, x, idx FROM px JOIN pal USING (image_id, r, g, b) WHERE a >= 128")
+on_pixels("palette_join", colors.indexed, f"{PALETTE} SELECT image_id, y, x, idx FROM px JOIN pal USING (image_id, r, g, b) WHERE a >= 128", dealt=True)
 on_pixels("palette_out_of_range", lambda p: p.filter("a >= 128").join(colors.palette(p).filter("idx < 4"), ["image_id", "r", "g", "b"], "left_anti").select("image_id", "y", "x"), f"{PALETTE} SELECT image_id, y, x FROM px JOIN pal USING (image_id, r, g, b) WHERE a >= 128 AND idx >= 4")
 on_pixels("alpha_flags", colors.alpha_flags, "SELECT image_id, bool_and(a = 0) AS all_clear, bool_or(a < 128) AS any_clear, bool_and(a = 255) AS opaque FROM px GROUP BY 1")
 on_pixels("over_composite", lambda p: colors.source_over(p, {"r": F.lit(10), "g": F.lit(200), "b": F.lit(90), "a": (F.col("x") * 40 + F.col("y")) % 256}), """, o AS (SELECT *, ((x * 40 + y) % 256) / 255.0::DOUBLE AS t, a / 255.0::DOUBLE AS u FROM px), s AS (SELECT *, t + u * (1 - t) AS o FROM o)

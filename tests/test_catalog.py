@@ -57,7 +57,7 @@ def test_no_shuffle_for_pixel_projections(spark, sf_dir):
         assert "Exchange" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["has_edits"])
+@pytest.mark.parametrize("name", ["has_edits", "palette_join"])
 def test_no_broadcast_or_shuffle_of_packed_images(spark, sf_dir, name):
     """Packed images are larger than Spark takes them for: only keys are shuffled, and nothing is broadcast through the driver."""
     found = QUERIES[name](spark, sf_dir)
@@ -76,3 +76,14 @@ def test_no_broadcast_of_decoded_images(spark, sf_dir, name):
     found = QUERIES[name](spark, sf_dir)
     found.collect()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_palette_indexes_of_odd_pixels(spark):
+    """Repeated images and pixels keep their rows; clear pixels and pixels without an id or a colour have none."""
+    from pixelloom.operators import colors
+
+    cells = [(1, 0, 0, 9, 9, 9, 128), (1, 0, 1, 2, 0, 0, 255), (1, 0, 2, 1, 255, 0, 255), (1, 0, 3, 0, 0, 0, 127), (1, 0, 4, 2, 0, 0, 255), (1, 0, 4, 2, 0, 0, 255), (2, 0, 0, 5, 5, 5, 255), (None, 0, 0, 5, 5, 5, 255), (2, 0, 1, None, 5, 5, 255), (2, 0, 2, 1, 1, 1, None)]
+    pixels = spark.createDataFrame(cells, "image_id long, y int, x int, r int, g int, b int, a int")
+    want = pixels.filter("a >= 128").join(colors.palette(pixels), ["image_id", "r", "g", "b"]).select("image_id", "y", "x", "idx")
+    got = sorted(map(tuple, colors.indexed(pixels).collect()))
+    assert got == sorted(map(tuple, want.collect())) == [(1, 0, 0, 2), (1, 0, 1, 1), (1, 0, 2, 0), (1, 0, 4, 1), (1, 0, 4, 1), (2, 0, 0, 1)]
